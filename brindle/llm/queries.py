@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import exactdedup, quality
 from .common import table
 
 
@@ -13,9 +13,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": """
+        select doc_id, kept_id, copies
+        from (select doc_id, min(kept) as kept_id, count(*) as copies
+              from (select doc_id, text, min(doc_id) over (partition by text) as kept from documents where text is not null) as d
+              group by doc_id, text) as g
+        where doc_id <> kept_id or copies > 1""",
+}
