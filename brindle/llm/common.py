@@ -35,3 +35,8 @@ def partitions(spark: SparkSession) -> int:
 
 def struct_of(df: DataFrame, names: list[str]) -> Column:
     return F.struct(*[F.col(f"`{n}`") for n in names])
+
+
+def small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """A written table of few columns, marked for broadcast if its counted rows are at most ``most_rows``; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= most_rows else df

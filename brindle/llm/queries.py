@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdedup, quality
+from . import exactdedup, quality, setjoin
 from .common import table
 
 
@@ -13,12 +13,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
