@@ -4,8 +4,8 @@ Every text is the set of its word n-grams (words in lower case, cut at ASCII pun
 white space), as 64-bit hashes.  A band is a range of set sizes whose ends differ by the
 threshold's ratio, so that partners lie in one band or in neighbours.  A tile is a band with one of
 the least grams of a set (its prefix in hash order): sets meet in the tiles of their own band and of
-the one above.  In a tile each set has a parity bitmap with two to four bits a gram; the
-bits in which two bitmaps differ are a lower bound of the symmetric difference, hence an
+the one above.  In a tile each set has a parity bitmap with two to four bits a gram (of sets of two bands
+the larger's is folded to the smaller's width); the bits in which two bitmaps differ are a lower bound of the symmetric difference, hence an
 upper bound of the overlap, which rules out nearly all pairs.  The rest is verified by
 intersecting the sorted arrays of grams.
 
@@ -24,15 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbuf
 from .common import small_side, written
 
-SIGNATURE = "struct<f0: bigint, f1: bigint, size: int, band: int, keys: array<bigint>, bits: binary, above: binary>"
+SIGNATURE = "struct<f0: bigint, f1: bigint, size: int, band: int, keys: array<bigint>, bits: binary>"
 #: Grams (rows times the size of their band) in a block of a tile.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def band_of(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -66,10 +66,18 @@ def fingerprint(grams: np.ndarray) -> tuple[int, int]:
 
 
 def parity(grams: np.ndarray, bits: int) -> bytes:
+    """A bitmap in which each gram flips a bit; its halves, flipped by one another, are the bitmap of half the width."""
     counts = np.bincount((grams >> textbuf.U64(20)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits(counts & 1).tobytes()
 
 
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    while bitmap.shape[1] > words:
+        half = bitmap.shape[1] // 2
+        bitmap = bitmap[:, :half] ^ bitmap[:, half:]
+    return bitmap
+
+
 def signature_udf(n: int, threshold: float, prefix: int | None):
     @F.arrow_udf(SIGNATURE)
     def signature(text: pa.Array) -> pa.Array:
@@ -87,9 +95,8 @@ def signature_udf(n: int, threshold: float, prefix: int | None):
                 "band": band,
                 "keys": grams[:k].view(np.int64).tolist(),
                 "bits": parity(grams, band_bits(band, threshold)),
-                "above": parity(grams, band_bits(band + 1, threshold)),
             }
-        return pa.array(out, pa.struct([("f0", pa.int64()), ("f1", pa.int64()), ("size", pa.int32()), ("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary()), ("above", pa.binary())]))
+        return pa.array(out, pa.struct([("f0", pa.int64()), ("f1", pa.int64()), ("size", pa.int32()), ("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())]))
 
     return signature
 
@@ -97,47 +104,57 @@ def signature_udf(n: int, threshold: float, prefix: int | None):
 PAIR = "a0 long, a1 long, b0 long, b1 long, bucket long"
 
 
-def compare(rows: pa.Table, threshold: float, band: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+def candidates(bits: list[np.ndarray], size: np.ndarray, ok, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x of the first bitmaps, y of the second) that sizes and bitmaps don't rule out, among those that ok(x, y) allows."""
+    (left, right), (size_l, size_r) = bits, size
+    step = max(1, (1 << 19) // max(1, right.shape[1] * len(right)))
+    limit = threshold / (1 + threshold)
+    xs, ys = [], []
+    for s in range(0, len(left), step):
+        a = size_l[s : s + step, None]
+        fit = ok(np.arange(s, min(len(left), s + step))[:, None], np.arange(len(right))[None, :])
+        fit &= np.minimum(a, size_r) >= threshold * np.maximum(a, size_r) - 1e-9
+        differ = np.bitwise_count(left[s : s + step, None, :] ^ right[None, :, :]).sum(axis=2, dtype=np.int64)
+        both = a + size_r
+        x, y = np.nonzero(fit & ((both - differ) / 2 >= limit * both - 1e-9))
+        xs.append(x + s)
+        ys.append(y)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def compare(rows: pa.Table, threshold: float, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs in a tile that the bitmaps don't rule out and that no tile of a smaller common key has."""
     size = rows["size"].to_numpy().astype(np.int64)
-    home = rows["home"].to_numpy(zero_copy_only=False)
+    home = rows["home"].to_numpy(zero_copy_only=False).astype(bool)
     block = rows["block"].to_numpy()
-    bitmap = rows["bits"].combine_chunks()
-    bits = textbuf.buffers(bitmap)[0].reshape(len(size), -1).view(np.uint64)
-    keys = rows["keys"].to_pylist()
-    f0, f1 = rows["f0"].to_numpy(), rows["f1"].to_numpy()
-    key = rows["key"][0].as_py()
-    left, right = [], []
-    step = max(1, (1 << 21) // max(1, bits.shape[1] * len(size)))
-    limit = threshold / (1 + threshold)
-    for s in range(0, len(size), step):
-        e = min(len(size), s + step)
-        both = size[s:e, None] + size[None, s:]
-        fit = np.arange(s, e)[:, None] < np.arange(s, len(size))[None, :]
-        fit &= home[s:e, None] | home[None, s:]
-        fit &= np.minimum(size[s:e, None], size[None, s:]) >= threshold * np.maximum(size[s:e, None], size[None, s:]) - 1e-9
-        if i != j:
-            fit &= block[s:e, None] != block[None, s:]
-        differ = np.bitwise_count(bits[s:e, None, :] ^ bits[None, s:, :]).sum(axis=2, dtype=np.int64)
-        fit &= (both - differ) / 2 >= limit * both - 1e-9
-        x, y = np.nonzero(fit)
-        left.append(x + s)
-        right.append(y + s)
-    x, y = np.concatenate(left), np.concatenate(right)
+    at_home, away = np.flatnonzero(home), np.flatnonzero(~home)
+    if not len(at_home):
+        return at_home, at_home
+    bitmaps = rows["bits"].combine_chunks()
+
+    def bits(of: np.ndarray) -> np.ndarray:
+        raw = textbuf.buffers(bitmaps.take(pa.array(of)))[0]
+        return raw.reshape(len(of), -1).view(np.uint64)
+
+    own = bits(at_home)
+    across = (lambda x, y, p, q: block[p[x]] != block[q[y]]) if i != j else (lambda x, y, p, q: np.ones((x.size, y.size), bool))
+    x, y = candidates([own, own], [size[at_home], size[at_home]], lambda x, y: (x < y) & across(x, y, at_home, at_home), threshold)
+    x, y = at_home[x], at_home[y]
+    if len(away):
+        other = bits(away)
+        u, v = candidates([folded(own, other.shape[1]), other], [size[at_home], size[away]], lambda x, y: across(x, y, at_home, away), threshold)
+        x, y = np.concatenate([x, at_home[u]]), np.concatenate([y, away[v]])
     if len(x):
-        width = max(map(len, keys))
-        if width == 1 or len(x) == 0:
-            return x, y
-        lists = np.zeros((len(keys), width), np.uint64)  # padded by repeating the first, which changes no minimum
-        for r, ks in enumerate(keys):
-            ks = np.array(ks, np.int64).view(np.uint64)
-            lists[r, : len(ks)], lists[r, len(ks) :] = ks, ks[0]
+        keys = rows["keys"].combine_chunks()
+        offsets, flat = keys.offsets.to_numpy(), keys.values.to_numpy().view(np.uint64)
+        count = np.diff(offsets)
+        column = np.minimum(np.arange(count.max())[None, :], count[:, None] - 1)  # padded by repeating the last
+        lists = flat[offsets[:-1, None] + column]
         least = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)
-        for c in range(width):
-            own = lists[x, c]
-            common = (own[:, None] == lists[y]).any(axis=1)
-            least = np.where(common & (own < least), own, least)
-        first = least == np.array(key, np.int64).view(np.uint64)
+        for c in range(lists.shape[1] - 1, -1, -1):  # a set's keys ascend
+            own_key = lists[x, c]
+            least = np.where((own_key[:, None] == lists[y]).any(axis=1), own_key, least)
+        first = least == np.array(rows["key"][0].as_py(), np.int64).view(np.uint64)
         x, y = x[first], y[first]
     return x, y
 
@@ -153,8 +170,7 @@ def tile_udf(threshold: float, buckets: int):
                 if e - s < 2:
                     continue
                 rows = table.slice(s, e - s)
-                band, i, j = (int(ident[s, c]) for c in (1, 2, 3))
-                x, y = compare(rows, threshold, band, i, j)
+                x, y = compare(rows, threshold, int(ident[s, 2]), int(ident[s, 3]))
                 if not len(x):
                     continue
                 f0, f1 = rows["f0"].to_numpy(), rows["f1"].to_numpy()
@@ -188,40 +204,44 @@ def verify_udf(n: int, threshold: float, forest: bool):
     """Exact Jaccard of a bucket's pairs; with forest only a spanning forest of those at the threshold or above."""
 
     def work(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        want = {}
-        for c in ("a", "b"):
-            want.update(dict.fromkeys(zip(pairs[c + "0"].to_pylist(), pairs[c + "1"].to_pylist())))
+        a0, a1, b0, b1 = (pairs[c].to_numpy() for c in ("a0", "a1", "b0", "b1"))
+        both = np.rec.fromarrays([np.concatenate([a0, b0]), np.concatenate([a1, b1])], names="f0,f1")
+        order = np.lexsort((both.f1, both.f0))
+        new = np.ones(len(order), bool)
+        new[1:] = (both.f0[order][1:] != both.f0[order][:-1]) | (both.f1[order][1:] != both.f1[order][:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        x, y = number[: len(a0)], number[len(a0) :]
+        of = {f: k for k, f in enumerate(zip(both.f0[order][new].tolist(), both.f1[order][new].tolist()))}
+        sets: list[np.ndarray | None] = [None] * len(of)
         if texts.num_rows:
             for _, grams in gram_sets(texts["text"].combine_chunks(), n):
-                f = fingerprint(grams)
-                if f in want:
-                    want[f] = grams
-        parent: dict = {}
-
-        def root(x):
-            while parent.get(x, x) != x:
-                parent[x] = x = parent.get(parent[x], parent[x])
-            return x
-
-        out = []
-        for a0, a1, b0, b1 in zip(*(pairs[c].to_pylist() for c in ("a0", "a1", "b0", "b1"))):
-            x, y = want[a0, a1], want[b0, b1]
-            if x is None or y is None:
-                continue
-            if forest and root((a0, a1)) == root((b0, b1)):
+                k = of.get(fingerprint(grams))
+                if k is not None:
+                    sets[k] = grams
+        parent = list(range(len(of)))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        jaccard = np.zeros(len(x))
+        for k in range(len(x)):
+            p, q = sets[x[k]], sets[y[k]]
+            if p is None or q is None or (forest and root(x[k]) == root(y[k])):
                 continue
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = len(y) - 1
-            common = int((y[at] == x).sum())
-            union = len(x) + len(y) - common
+            if len(p) > len(q):
+                p, q = q, p
+            at = np.searchsorted(q, p)
+            common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+            union = len(p) + len(q) - common
             if common >= threshold * union - 1e-9:
-                out.append((a0, a1, b0, b1, common / union))
+                jaccard[k] = common / union
                 if forest:
-                    parent[root((a0, a1))] = root((b0, b1))
-        cols = list(zip(*out)) if out else [()] * 5
-        return pa.table({c: pa.array(v, pa.float64() if c == "jaccard" else pa.int64()) for c, v in zip(("a0", "a1", "b0", "b1", "jaccard"), cols)})
+                    parent[root(x[k])] = root(y[k])
+        good = np.flatnonzero(jaccard)
+        return pa.table({"a0": a0[good], "a1": a1[good], "b0": b0[good], "b1": b1[good], "jaccard": jaccard[good]})
 
     return work
 
@@ -238,22 +258,15 @@ def signatures(docs: DataFrame, n: int, threshold: float, prefix: int | None) ->
 def similar_sets(docs: DataFrame, sig: DataFrame, n: int, threshold: float, forest: bool) -> DataFrame:
     """Pairs of distinct sets (by fingerprint) with a Jaccard of the threshold at least, which is exact."""
     spark = docs.sparkSession
-    sets = sig.groupBy("f0", "f1").agg(F.min(F.struct("id", "size", "band", "keys", "bits", "above")).alias("r")).select("f0", "f1", "r.*")
-    rows = sets.select(
-        "f0", "f1", "size", "keys", F.explode("keys").alias("key"), "band",
-        F.explode(F.array(F.struct(F.lit(0).alias("up"), F.col("bits")), F.struct(F.lit(1).alias("up"), F.col("above").alias("bits")))).alias("t"),
-    ).select("f0", "f1", "size", "keys", "key", (F.col("band") + F.col("t.up")).alias("tile"), (F.col("t.up") == 0).alias("home"), "t.bits")
-    largest = F.pow(F.lit(1 / threshold), F.col("tile") + 1)
-    crowded = (
-        sets.select(F.explode("keys").alias("key"), F.explode(F.array("band", F.col("band") + 1)).alias("tile"))
-        .groupBy("key", "tile").count()
-        .withColumn("blocks", F.ceil(F.col("count") * largest / BLOCK))
-        .where("blocks > 1").drop("count")
-    )
-    own = F.pmod(F.xxhash64("f0", "f1"), F.coalesce("blocks", F.lit(1)))
-    blocked = rows.join(crowded, ["key", "tile"], "left").withColumn("block", own)
-    everyone = F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)
-    spread = blocked.withColumn("other", F.explode(everyone)).select(
+    sets = sig.groupBy("f0", "f1").agg(F.min(F.struct("id", "size", "band", "keys", "bits")).alias("r")).select("f0", "f1", "r.*")
+    sets = written(sets, "gram-sets")
+    places = sets.select("f0", "f1", "band", F.explode("keys").alias("key"), F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
+    tile = Window.partitionBy("key", "tile")
+    places = places.select("f0", "f1", "key", (F.col("band") + F.col("up")).alias("tile"), (F.col("up") == 0).alias("home"))
+    places = places.withColumns({"n": F.count("*").over(tile), "at_home": F.count(F.when(F.col("home"), 1)).over(tile)}).where("n > 1 and at_home > 0")
+    blocks = F.ceil(F.col("n") * F.pow(F.lit(1 / threshold), F.col("tile") + 1) / BLOCK)
+    places = places.withColumn("block", F.pmod(F.xxhash64("f0", "f1"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    spread = places.join(sets.select("f0", "f1", "size", "keys", "bits"), ["f0", "f1"]).select(
         "key", "tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "home", "size", "f0", "f1", "keys", "bits"
     )
     n_docs = sig.count()

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U64 = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -41,7 +41,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size <= 8 * CHUNK:
+        if size <= 64 * CHUNK:
             _tables[base] = have
     return have
 
