@@ -2,7 +2,8 @@
 
 ``fit`` grows a conjunction of thresholds literal by literal on two thirds of the labelled
 statistics (FOIL gain), prunes it backwards on the other third, keeps it if it is
-precise there, removes what it covers and starts the next one.  The ordered list
+precise there, removes what it covers and starts the next one; after an imprecise one the
+next best first literal is tried.  The ordered list
 becomes one ``CASE WHEN`` over the statistics, evaluated on the JVM for every document.
 """
 
@@ -125,14 +126,16 @@ class Rule:
 def _candidates(x: np.ndarray, positive: np.ndarray, cuts: int) -> list[tuple[int, np.ndarray]]:
     out = []
     for j in range(x.shape[1]):
-        levels = np.unique(np.quantile(x[:, j], np.linspace(0, 1, cuts)))
+        levels = np.unique(x[:, j])
+        if len(levels) > 16 * cuts:
+            levels = np.unique(np.quantile(x[:, j], np.linspace(0, 1, cuts)))
         if positive.any():
             levels = np.union1d(levels, np.quantile(x[positive, j], np.linspace(0, 1, 17)))
         out.append((j, (levels[1:] + levels[:-1]) / 2))
     return out
 
 
-def _grow(x: np.ndarray, y: np.ndarray, most: int, cuts: int) -> list[Literal]:
+def _grow(x: np.ndarray, y: np.ndarray, most: int, cuts: int, barred: set[tuple[str, bool]]) -> list[Literal]:
     literals: list[Literal] = []
     inside = np.ones(len(x), bool)
     while len(literals) < most:
@@ -147,6 +150,8 @@ def _grow(x: np.ndarray, y: np.ndarray, most: int, cuts: int) -> list[Literal]:
                 continue
             pos, neg = np.sort(xs[ys, j]), np.sort(xs[~ys, j])
             for up in (True, False):
+                if not literals and (STATS[j], up) in barred:
+                    continue
                 p = p0 - np.searchsorted(pos, levels) if up else np.searchsorted(pos, levels, side="right")
                 n = n0 - np.searchsorted(neg, levels) if up else np.searchsorted(neg, levels, side="right")
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -161,15 +166,17 @@ def _grow(x: np.ndarray, y: np.ndarray, most: int, cuts: int) -> list[Literal]:
     return literals
 
 
-def _prune(literals: list[Literal], x: np.ndarray, y: np.ndarray) -> tuple[list[Literal], float, int]:
-    best = (-2.0, 0.0, 0, 0)
+def _prune(literals: list[Literal], x: np.ndarray, y: np.ndarray, hold: np.ndarray, min_precision: float, min_cover: int) -> Rule | None:
+    """The beginning of the conjunction that is worth most on what is held out, of those precise enough there and on all rows."""
+    best, found = -2.0, None
     for k in range(1, len(literals) + 1):
         hit = Rule(tuple(literals[:k])).holds(x)
-        p, n = int(y[hit].sum()), int((~y[hit]).sum())
-        worth = (p - n) / (p + n) if p + n else -1.0
-        if worth > best[0]:
-            best = (worth, p / (p + n) if p + n else 0.0, p, k)
-    return literals[: best[3]], best[1], best[2]
+        wrong, p, n = int((hit & ~y).sum()), int((hit & y & hold).sum()), int((hit & ~y & hold).sum())
+        if p < min_cover or p < min_precision * (p + n) or wrong > (1 - min_precision) * hit.sum():
+            continue
+        if (p - n) / (p + n) > best:
+            best, found = (p - n) / (p + n), Rule(tuple(literals[:k]), int(hit.sum()), wrong)
+    return found
 
 
 def learn(
@@ -179,16 +186,18 @@ def learn(
     x, y = np.asarray(x, float), np.asarray(reject, bool)
     rules: list[Rule] = []
     hold = np.arange(len(x)) % 3 == 2
+    barred: set[tuple[str, bool]] = set()  # first literals that led to no precise rule since the last one
     while len(rules) < most_rules and (y & ~hold).sum() >= min_cover:
-        grown = _grow(x[~hold], y[~hold], most_literals, cuts)
+        grown = _grow(x[~hold], y[~hold], most_literals, cuts, barred)
         if not grown:
             break
-        kept, precision, cover = _prune(grown, x[hold], y[hold])
-        hit = Rule(tuple(kept)).holds(x)
-        wrong = int((hit & ~y).sum())
-        if not kept or cover < max(1, min_cover // 2) or precision < min_precision or wrong > (1 - min_precision) * hit.sum():
-            break
-        rules.append(Rule(tuple(kept), int(hit.sum()), wrong))
+        rule = _prune(grown, x, y, hold, min_precision, max(1, min_cover // 2))
+        if rule is None:
+            barred.add((grown[0].stat, grown[0].at_least))
+            continue
+        rules.append(rule)
+        barred.clear()
+        hit = rule.holds(x)
         x, y, hold = x[~hit], y[~hit], hold[~hit]
     return rules
 

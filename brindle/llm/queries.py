@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, mixing, quality, setjoin, substrings
+from . import bpe, exactdedup, htmltext, licenses, mixing, quality, setjoin, sstable, substrings, warc
 from .common import table
 
 
@@ -13,14 +13,30 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
+def op3_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.sections(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -35,8 +51,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
+    "op3_sorted_string_tables": op3_sorted_string_tables,
     "op4_source_mixing": op4_source_mixing,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
@@ -45,6 +65,7 @@ QUERIES = {
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op4_source_mixing": mixing.oracle(),
+    "op5_warc_revisits": warc.oracle(),
     "op9_exact_dedup": """
         select doc_id, kept_id, copies
         from (select doc_id, min(kept) as kept_id, count(*) as copies
