@@ -23,7 +23,7 @@ def page_limit(limit: int) -> int:
 
 def tidy_labels(labels: Column) -> Column:
     """Trimmed, without empty ones, distinct, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(labels, F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def upsert_nodes(log: DataFrame) -> DataFrame:

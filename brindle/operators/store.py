@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import under
+from ..plans.lineage import in_ranges
 
 
 def insert(values: DataFrame, payloads: DataFrame, *, declared: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -29,9 +30,7 @@ def insert(values: DataFrame, payloads: DataFrame, *, declared: str | None = Non
 
 def with_position(df: DataFrame, order: str, name: str) -> DataFrame:
     """1, 2, 3 ... in order of a column, without one task ordering all rows: ranges of the column are counted, then numbered."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
+    ranged = in_ranges(df, order)
     counts = ranged.groupBy("__part").count()
     before = counts.select("__part", (F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(order))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_ranges(df: DataFrame, order: str | Column) -> DataFrame:
+    """The rows with ``__part``, the number of the range of ``order`` that they lie in; written, as the ranges come from a sample that another run would draw anew."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = {}
-ORACLES: dict[str, str] = {}
+from . import graph_queries, predict_queries, recall_queries, store_queries  # noqa: F401
+from .inputs import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histogram of relation types of every node: the placeholder until the pattern query stands."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").count()
+    """Bounded two-hop pattern query from a region back to nations, and to who is in them."""
+    return QUERIES["gq_hops_1_2"](spark, sf_dir)
