@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import belief
@@ -90,10 +90,12 @@ def modality_predicate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("group"), F.col("l_partkey").alias("dst")).agg(F.sum("l_quantity").alias("q"))
-    return lines.select("group", "dst", F.when(F.col("dst") % 3 == 0, None).when(F.col("group") % 2 == 0, F.col("q")).otherwise(F.col("q") / 1000).alias("share"))
+    least = F.min("dst").over(Window.partitionBy("group"))
+    share = F.when(F.col("group") % 5 == 0, None).when(F.col("group") % 2 == 0, F.col("q")).when(F.col("dst") == least, None).otherwise(F.col("q") / 1024)
+    return lines.select("group", "dst", share.alias("share"))
 
 
-_OPTIONS = """options as (select "group", dst, case when dst % 3 = 0 then null when "group" % 2 = 0 then q else q / 1000 end as share
+_OPTIONS = """options as (select "group", dst, case when "group" % 5 = 0 then null when "group" % 2 = 0 then q when dst = min(dst) over (partition by "group") then null else q / 1024 end as share
         from (select l_orderkey as "group", l_partkey as dst, sum(l_quantity) as q from lineitem group by all) as x),
     counted as (select *, count(*) over w as n, count(share) over w as d, coalesce(sum(share) over w, 0) as total, coalesce(max(share) over w, 0) as top from options window w as (partition by "group")),
     filled as (select *, coalesce(share, case when d = 0 then 1.0::double / n when total <= 1 and top <= 1 then case when 1 - total > 0 then (1 - total) / (n - d) else 1.0::double / n end
@@ -101,9 +103,9 @@ _OPTIONS = """options as (select "group", dst, case when dst % 3 = 0 then null w
     done as (select "group", dst, share, floor(s / sum(s) over (partition by "group") * 1e6::double + 0.5) / 1e6::double as confidence from filled)"""
 
 
-@register("ambiguity_distribute", f"with {_OPTIONS} select \"group\", dst, share, round(confidence, 5) as confidence, {_CANON} as modality from done")
+@register("ambiguity_distribute", f"with {_OPTIONS} select \"group\", dst, share, confidence, {_CANON} as modality from done")
 def ambiguity_distribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.distribute(_options(spark, sf_dir), group=["group"]).withColumn("confidence", F.round("confidence", 5))
+    return graph.distribute(_options(spark, sf_dir), group=["group"])
 
 
 def _ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
