@@ -23,8 +23,8 @@ from .common import written
 
 FAN = 8
 NO_ID = 2**63 - 1
-#: SHA-256 as big-endian words, the text's length in bytes (which verifies it), identifier, copies.
-ENTRY = np.dtype([("digest", ">u8", 4), ("size", "<i8"), ("id", "<i8"), ("n", "<i8")])
+#: SHA-256 as four words in the machine's order (numpy brings records that it joins into that order), the text's length in bytes (which verifies it), identifier, copies.
+ENTRY = np.dtype([("digest", "<u8", 4), ("size", "<i8"), ("id", "<i8"), ("n", "<i8")])
 RUN = "lane long, run long, entries binary"
 
 
@@ -40,9 +40,10 @@ def merge(runs: list[np.ndarray]) -> np.ndarray:
     every = np.concatenate(runs) if runs else np.zeros(0, ENTRY)
     if not len(every):
         return every
-    keys = every["digest"].astype(np.uint64)
+    keys = every["digest"]
     order = np.lexsort((every["id"], every["size"], keys[:, 3], keys[:, 2], keys[:, 1], keys[:, 0]))
-    every, keys = every[order], keys[order]
+    every = every[order]
+    keys = every["digest"]
     new = np.ones(len(every), bool)
     new[1:] = (keys[1:] != keys[:-1]).any(axis=1) | (every["size"][1:] != every["size"][:-1])
     out = every[new].copy()
@@ -52,7 +53,7 @@ def merge(runs: list[np.ndarray]) -> np.ndarray:
 
 def digit(run: np.ndarray, level: int) -> np.ndarray:
     """The level-th octal digit of each digest."""
-    first = run["digest"][:, 0].astype(np.uint64)
+    first = run["digest"][:, 0]
     return (first >> np.uint64(61 - 3 * level)).astype(np.int64) & (FAN - 1)
 
 
@@ -96,7 +97,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for x in b.column("entries").to_pylist():
             run = np.frombuffer(x, ENTRY)
-            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(run), [None, pa.py_buffer(np.ascontiguousarray(run["digest"]).tobytes())])
+            fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(run), [None, pa.py_buffer(run["digest"].astype(">u8").tobytes())])
             yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary()), pa.array(run["size"]), pa.array(run["id"]), pa.array(run["n"])], names=["digest", "size", "kept", "n"])
 
 
