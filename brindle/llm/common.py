@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +42,16 @@ def struct_of(df: DataFrame, names: list[str]) -> Column:
 def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     """A written table of few columns, marked for broadcast if its counted rows are at most ``most_rows``; else Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def own_names(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions of documents that return their columns: columns that begin with two underscores, as the function's own do, have other names meanwhile."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        away = {c: f"extra_{k}_{uuid.uuid4().hex}" for k, c in enumerate(docs.columns) if c.startswith("__")}
+        if not away:
+            return f(docs, *args, **options)
+        return f(docs.withColumnsRenamed(away), *args, **options).withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import own_names, written
 
 FAN = 8
 NO_ID = 2**63 - 1
@@ -132,6 +132,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+@own_names
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs but for copies: of each distinct text one row, of the smallest doc_id (null: the largest), stays.
 

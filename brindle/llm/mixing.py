@@ -18,7 +18,7 @@ from decimal import Decimal, getcontext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import own_names, small_side, written
 
 getcontext().prec = 60
 _GOLDEN = (Decimal(5).sqrt() - 1) / 2
@@ -105,6 +105,7 @@ def schedule(spark: SparkSession, plan: Plan) -> DataFrame:
     return ranked.select("slot", F.element_at(names, F.col("i")).alias("key"), "rank", F.pmod("rank", of).alias("block"), F.floor(F.col("rank") / of).alias("epoch"))
 
 
+@own_names
 def mix(
     docs: DataFrame, *, weights: Mapping[str | None, float] | None = None, temperature: float = 0.8, block: int = 2048, slots: int | None = None, seed: int = 0, bucket_blocks: int = 256
 ) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import small_side, written
+from .common import own_names, small_side, written
 
 SIGNATURE = "struct<f0: bigint, f1: bigint, size: int, band: int, keys: array<bigint>, bits: binary>"
 #: Grams (rows times the size of their band) in a block of a tile.
@@ -315,6 +315,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+@own_names
 def dedup(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, prefix: int | None = 6) -> DataFrame:
     """The rows of docs with one document, of the smallest doc_id, of each group that similar pairs connect.
 
