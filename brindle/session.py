@@ -19,7 +19,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.literals import truthy  # noqa: F401
 from .operators import graph, memo, pattern, placement, predict, recall, records, scan, store, terms
 from .sources.snapshots import Folder, export_fork, settings_text
 
