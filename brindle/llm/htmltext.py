@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: No alternative is tried twice, and but for what ends with the page none reads beyond the next "<": time grows with the page only.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|svg|textarea|select)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>"
     r"|[^<]+|<",
     re.S | re.I,
 )
@@ -113,7 +114,7 @@ class Tree:
                 close(at)
             while len(stack) > 1 and self.tag[stack[-1]] in CLOSES.get(name, ()):
                 close(len(stack) - 1)
-            if name in VOID or m[5]:
+            if name in VOID or m[4].endswith("/"):
                 continue
             self.tag.append(name)
             self.parent.append(stack[-1])
