@@ -297,6 +297,6 @@ def write(df: DataFrame, folder: str, **options) -> DataFrame:
         own.write_bytes(b"".join(shard["content"].to_pylist()))
         own.replace(target)
         last = shard.num_rows - 1
-        return pa.table({"shard": [shard["shard"][0].as_py()], "file": [name], "entries": [shard["entries"][last].as_py()], "first_id": [shard["first_id"][last].as_py()], "last_id": [shard["last_id"][last].as_py()]})
+        return pa.table({"shard": pa.array([shard["shard"][0].as_py()], pa.int32()), "file": [name], "entries": [shard["entries"][last].as_py()], "first_id": [shard["first_id"][last].as_py()], "last_id": [shard["last_id"][last].as_py()]})
 
     return sections(df, **options).groupBy("shard").applyInArrow(save, "shard int, file string, entries long, first_id long, last_id long")

@@ -19,10 +19,10 @@ def brute(text: str, found: list[licenses.Notice]) -> set:
 
 
 def test_seeds_lose_nothing_that_a_search_of_the_whole_text_finds(spark, small):
-    found = licenses.notices()
+    found = [n for n in licenses.notices() if n.name in ("Apache-2.0", "MIT", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-3.0")]
     scanner = licenses.Scanner(found)
-    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text and len(r.text) < 4000]
-    texts += ["x licenced under the apache licence, version 2.0 y", "RELEASED  UNDER THE MIT LICENSE" * 3]
+    lines = [line for r in spark.read.parquet(f"{small}/documents.parquet").collect() for line in r.text.split("\n") if "icens" in line and len(line) < 300]
+    texts = lines[:15] + ["x licenced under the apache licence, version 2.0 y", "RELEASED  UNDER THE MIT LICENSE" * 3, "nothing of the kind is said here"]
     hits = 0
     for text in texts:
         got = {(r[0], r[3]) for r in scanner.scan(text)}
