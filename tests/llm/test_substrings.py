@@ -42,7 +42,8 @@ def test_all_long_repeats_are_found(spark, small):
     assert shared
     for places in shared.values():
         outside = [p for p in places if not all((p[0], p[1] + i) in covered for i in range(N))]
-        assert len(outside) <= 1, outside  # the first place of a passage isn't listed
+        # the first place of a passage isn't listed; in a run of one word its repeats begin at the next positions of the cover
+        assert len({k for k, _ in outside}) <= 1 and (not outside or max(i for _, i in outside) - min(i for _, i in outside) < substrings.PERIOD), outside
 
 
 @pytest.mark.parametrize("offset", range(13))
