@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textbuf
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII and Latin letters, in the faster standard library.
@@ -28,7 +30,7 @@ _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]
 _OTHER = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ɏ]")
 _ANY = regex.compile(PATTERN)
 #: Pre-tokens that a worker remembers in each of its two generations.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 _M64 = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 
@@ -199,7 +201,9 @@ def encode_udf(shared):
         offsets = np.zeros(len(lengths) + 1, np.int32)
         np.cumsum(lengths, out=offsets[1:])
         values = np.concatenate(parts) if parts else np.zeros(0, codec.kind)
+        del parts
         tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+        textbuf.release()
         return pa.StructArray.from_arrays([tokens, pa.array(exact, pa.bool_())], names=["tokens", "exact"], mask=pa.array(null, pa.bool_()))
 
     return encode

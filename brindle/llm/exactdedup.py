@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textbuf
 from .common import own_names, written
 
 FAN = 8
@@ -82,6 +83,7 @@ def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = [merge(runs)]
     if runs:
         yield packed(list(cut(merge(runs), 0, TaskContext.get().partitionId(), 0)))
+    textbuf.release()
 
 
 def _merge_round(level: int, last: bool):

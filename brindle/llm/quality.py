@@ -86,6 +86,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 @F.arrow_udf(STATS_TYPE)
 def text_statistics(text: pa.Array) -> pa.Array:
     found = statistics(text)
+    textbuf.release()
     return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(STATS))], names=list(STATS))
 
 

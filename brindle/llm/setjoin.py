@@ -96,6 +96,7 @@ def signature_udf(n: int, threshold: float, prefix: int | None):
                 "keys": grams[:k].view(np.int64).tolist(),
                 "bits": parity(grams, band_bits(band, threshold)),
             }
+        textbuf.release()
         return pa.array(out, pa.struct([("f0", pa.int64()), ("f1", pa.int64()), ("size", pa.int32()), ("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())]))
 
     return signature
@@ -196,6 +197,8 @@ def tile_udf(threshold: float, buckets: int):
         if held:
             table = pa.Table.from_batches(held)
             yield from tiles(table, table.num_rows, ids(table))
+        held.clear()
+        textbuf.release()
 
     return work
 
@@ -241,6 +244,8 @@ def verify_udf(n: int, threshold: float, forest: bool):
                 if forest:
                     parent[root(x[k])] = root(y[k])
         good = np.flatnonzero(jaccard)
+        del sets
+        textbuf.release()
         return pa.table({"a0": a0[good], "a1": a1[good], "b0": b0[good], "b1": b1[good], "jaccard": jaccard[good]})
 
     return work

@@ -9,6 +9,7 @@ of numpy passes and no per-word Python.  Batches are cut into chunks of about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -133,5 +134,14 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return slices(prefix(w.hash, WORD_BASE), start, end, WORD_BASE), row
 
 
-def popcount(a: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a)
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives memory that a batch has freed back to the machine: idle workers stay alive between stages, beside those of the next."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
