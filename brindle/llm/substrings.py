@@ -6,6 +6,9 @@ the period: hashing only the windows at cover positions, 4 of 13, gives any matc
 words an anchor that both sides hash.  Equal windows are linked to the first of them (so a passage that
 many documents share costs a link each, not a pair each), anchors are gathered by pair of documents, and
 the words of both are compared along each diagonal to extend every anchor to its maximal match.
+
+The first of a window may share less of a passage than two later ones do.  Each anchor has a hash of the words around it; where two or
+more differ in it from the first, all stretches of 50 words through these anchors are hashed too and linked to the first of theirs.
 """
 
 from __future__ import annotations
@@ -50,32 +53,107 @@ def anchors_udf(window: int, period: int, cover: tuple[int, ...]):
                 pick = np.flatnonzero(at_cover[pos % period] & (pos + window <= counts[row]))
                 if not len(pick):
                     continue
-                hashed = textbuf.slices(textbuf.prefix(w.hash, textbuf.WORD_BASE), pick, pick + window, textbuf.WORD_BASE)
+                pre = textbuf.prefix(w.hash, textbuf.WORD_BASE)
+                hashed = textbuf.slices(pre, pick, pick + window, textbuf.WORD_BASE)
+                before, after = np.minimum(pos[pick], period - 1), np.minimum(counts[row[pick]] - pos[pick], window + period - 1)
+                around = textbuf.slices(pre, pick - before, pick + after, textbuf.WORD_BASE) + before.astype(np.uint64)
                 place = (keys[w.first + row[pick]] << PLACE_BITS) | pos[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(place)], names=["h", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(place), pa.array(around.view(np.int64))], names=["h", "place", "around"])
 
     return work
 
 
+def link_rows(place: np.ndarray, first: np.ndarray, crowded: bool) -> pa.RecordBatch:
+    low = (1 << PLACE_BITS) - 1
+    cols = [place >> PLACE_BITS, first >> PLACE_BITS, place & low, first & low, np.full(len(place), crowded)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "first", "pos", "first_pos", "crowded"])
+
+
+LINK = "key long, first long, pos long, first_pos long, crowded boolean"
+
+
 def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors sorted by hash and place, each but the first of its hash, with the first."""
+    """From anchors sorted by hash and place, each but the first of its hash, with the first.
+
+    Where two or more of a hash differ from the first in the words around them, these and the first are there again as crowded.
+    """
+    held = [np.zeros(0, np.int64)] * 3  # of the last hash the first anchor and the first two that differ from it
+    for b in batches:
+        if not b.num_rows:
+            continue
+        old = len(held[0])
+        h, place, around = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate(held))
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        opens = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        first = place[opens]
+        fresh = np.arange(len(h)) >= old
+        again = fresh & (place != first)
+        if again.any():
+            yield link_rows(place[again], first[again], False)
+        other = around != around[opens]
+        group = np.cumsum(new) - 1
+        crowd = (np.bincount(group, other) >= 2)[group] & (new | other)
+        if old == 3:
+            crowd &= fresh
+        if crowd.any():
+            yield link_rows(place[crowd], first[crowd], True)
+        last = opens[-1]
+        keep = np.concatenate([[last], last + np.flatnonzero(other[last:])[:2]])
+        held = [h[keep], place[keep], around[keep]]
+
+
+def stretches_udf(window: int, period: int):
+    """Of texts (key, text, at: crowded anchors with the first of each) all stretches of window + period - 1 words through the anchors.
+
+    ``star`` is where the stretch lies on the diagonal of the anchor's first.
+    """
+    length = window + period - 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            at = b.column(2)
+            sizes = np.diff(at.offsets.to_numpy())
+            owner, anchor = np.repeat(np.arange(len(sizes)), sizes), at.flatten()
+            pos, star = anchor.field("pos").to_numpy(), anchor.field("star").to_numpy()
+            for w in textbuf.chunks(b.column(1)):
+                counts = np.diff(w.bound)
+                lo, hi = np.searchsorted(owner, [w.first, w.first + w.rows])
+                for s in range(lo, hi, 1 << 15):
+                    cut = slice(s, min(s + (1 << 15), hi))
+                    back = np.arange(period)
+                    row = np.repeat(owner[cut] - w.first, period)
+                    start = (pos[cut, None] - back).ravel()
+                    to = (star[cut, None] - back).ravel()
+                    fits = (start >= 0) & (start + length <= counts[row])
+                    row, start, to = row[fits], start[fits], to[fits]
+                    if not len(row):
+                        continue
+                    place, k = np.unique((keys[w.first + row] << PLACE_BITS) | start, return_index=True)
+                    begin = w.bound[:-1][row[k]] + start[k]
+                    hashed = textbuf.slices(textbuf.prefix(w.hash, textbuf.WORD_BASE), begin, begin + length, textbuf.WORD_BASE)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(place), pa.array(to[k])], names=["h", "place", "star"])
+
+    return work
+
+
+def crowded_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From stretches sorted by hash and place, each but the first of its hash, with the first, unless the anchor's link is the same."""
     held = None
     for b in batches:
         if not b.num_rows:
             continue
-        h, place = b.column(0).to_numpy(), b.column(1).to_numpy()
+        h, place, star = (b.column(k).to_numpy() for k in range(3))
         if held is not None:
-            h, place = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], place])
+            h, place, star = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], place]), np.concatenate([[held[1]], star])
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         first = place[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
         held = (h[-1], first[-1])
-        again = ~new & (place != first)
+        again = (place != first) & (star != first)
         if again.any():
-            a, o = place[again], first[again]
-            low = (1 << PLACE_BITS) - 1
-            cols = [a >> PLACE_BITS, o >> PLACE_BITS, a & low, o & low]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "first", "pos", "first_pos"])
+            yield link_rows(place[again], first[again], False)
 
 
 def matches(a: np.ndarray, b: np.ndarray, pos: np.ndarray, other: np.ndarray, window: int) -> list[tuple[int, int, int]]:
@@ -147,16 +225,22 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, period: int = PERIOD, cove
     """Passages of documents that are there before, in another document or earlier in the same.
 
     Words are what ASCII white space separates, compared exactly.  Every passage of window + period - 1 (50) words or more that
-    two places share is found: for each place but the first (in the order of keys, which are hashes) of each
-    window, the maximal match with that first place is listed, as doc_id, start_word (from 0), n_words (window at least), other_id
+    two places share is found: of any 50 words that are at several places, each place but the first (in the order of keys, which are
+    hashes) lies within one listed row.  For each place but the first of each window that the cover picks, and of any 50 words that no
+    such row holds, the maximal match with that first place is listed, as doc_id, start_word (from 0), n_words (window at least), other_id
     and other_start; matches of one pair that overlap are one row, with the other_start of the longest.
     Texts of fewer than ``window`` words, null texts and rows without doc_id have no passages.  A row repeated with doc_id and
     text counts once; rows that share only a doc_id are documents of their own.  Other columns aren't looked at.
     """
     spark = docs.sparkSession
     own = keyed(docs)
-    anchors = own.select("key", "text").mapInArrow(anchors_udf(window, period, cover), "h long, place long")
-    linked = anchors.repartition("h").sortWithinPartitions("h", "place").mapInArrow(links, "key long, first long, pos long, first_pos long")
+    anchors = own.select("key", "text").mapInArrow(anchors_udf(window, period, cover), "h long, place long, around long")
+    starred = written(anchors.repartition("h").sortWithinPartitions("h", "place").mapInArrow(links, LINK), "anchor-links")
+    star = F.shiftleft("first", PLACE_BITS).bitwiseOR(F.col("first_pos"))
+    crowded = starred.where("crowded").groupBy("key").agg(F.collect_list(F.struct("pos", star.alias("star"))).alias("at"))
+    stretches = own.join(crowded, "key").select("key", "text", "at").mapInArrow(stretches_udf(window, period), "h long, place long, star long")
+    more = stretches.repartition("h").sortWithinPartitions("h", "place").mapInArrow(crowded_links, LINK)
+    linked = starred.where("not crowded").unionByName(more)
     place = F.shiftleft("pos", PLACE_BITS).bitwiseOR(F.col("first_pos"))
     pairs = written(linked.groupBy("key", "first").agg(F.collect_set(place).alias("at")), "anchor-pairs")
     shares = pairs.groupBy("first").agg(F.ceil(F.count("*") / 500).alias("shares"))

@@ -76,3 +76,34 @@ def test_odd_rows(spark):
     listed = {(r.doc_id, r.start_word) for r in got if r.doc_id != 6}
     assert len(listed) == 3 and all(r.n_words >= 60 for r in got if r.doc_id != 6)  # four places, the first of which isn't listed
     assert substrings.repeats(docs.limit(0)).count() == 0
+
+
+def test_others_that_share_only_part_of_a_passage(spark):
+    """Each 50 words of several places lie within one row, but at one place, whoever is first of the smaller windows in them."""
+    rng = np.random.default_rng(3)
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    texts = {}
+    for case in range(120):
+        p = say(int(rng.integers(50, 70)))
+        for k in range(2 + case % 2):
+            texts[len(texts)] = say(int(rng.integers(0, 30))) + p + say(int(rng.integers(0, 30)))
+        for _ in range(case % 5):
+            cut = int(rng.integers(0, 12))
+            texts[len(texts)] = say(int(rng.integers(0, 30))) + p[cut : cut + int(rng.integers(38, len(p)))] + say(int(rng.integers(0, 30)))
+    texts = {k: " ".join(t) for k, t in texts.items()}
+    rows = substrings.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    check(rows, texts)
+    for places in brute(texts).values():
+        outside = [(k, i) for k, i in places if not any(r.doc_id == k and r.start_word <= i and i + N <= r.start_word + r.n_words for r in rows)]
+        assert len(outside) <= 1, outside
+
+
+def test_links_do_not_depend_on_batches():
+    rng = np.random.default_rng(4)
+    h = np.sort(rng.integers(0, 30, 500))
+    place, around = np.arange(500) << substrings.PLACE_BITS, rng.integers(0, 3, 500)
+    got = []
+    for step in (1, 2, 3, 7, 500):
+        batches = [substrings.pa.RecordBatch.from_arrays([substrings.pa.array(x[s : s + step]) for x in (h, place, around)], names=["h", "place", "around"]) for s in range(0, 500, step)]
+        got.append(sorted(tuple(r.values()) for b in substrings.links(iter(batches)) for r in b.to_pylist()))
+    assert got[0] and all(g == got[0] for g in got) and len(set(got[0])) == len(got[0])
