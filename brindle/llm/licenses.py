@@ -7,6 +7,7 @@ notice with at most k errors, best match first, and reports its span and edits.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -16,11 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NOTICES = {
+#: A notice of several wordings has a tuple of them.
+NOTICES: dict[str, str | tuple[str, ...]] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "MIT": "Released under the MIT License",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "licensed under the GNU General Public License, version 3"),
     "GPL-2.0": "licensed under the GNU General Public License, version 2",
     "LGPL": "licensed under the GNU Lesser General Public License",
     "AGPL-3.0": "licensed under the GNU Affero General Public License",
@@ -54,8 +56,10 @@ class Notice:
         return [(a, self.text[a:b]) for a, b in zip(ends, ends[1:])]
 
 
-def notices(texts: dict[str, str] | None = None, rate: float = RATE) -> list[Notice]:
-    return [Notice(name, text.lower(), max(1, int(len(text) * rate))) for name, text in (texts or NOTICES).items()]
+def notices(texts: dict[str, str | tuple[str, ...]] | None = None, rate: float = RATE) -> list[Notice]:
+    """One of each wording."""
+    every = [(name, text) for name, of in (texts or NOTICES).items() for text in ((of,) if isinstance(of, str) else of)]
+    return [Notice(name, text.lower(), max(1, int(len(text) * rate))) for name, text in every]
 
 
 def lowered(text: str) -> str:
@@ -95,8 +99,8 @@ class Scanner:
             out[i] = joined
         return out
 
-    def scan(self, text: str) -> list[tuple[str, int, int, int, str]]:
-        low = lowered(text)
+    def matches(self, low: str) -> list[tuple[int, int, int, int]]:
+        """Number of the notice, start, end and edits of every match, whatever other notices match there."""
         out = []
         for i, spans in self.windows(low).items():
             n, pattern = self.notices[i], self.patterns[i]
@@ -108,10 +112,24 @@ class Scanner:
                 m = pattern.search(low, a, b)
                 if m is None or m.end() == m.start():
                     continue
-                out.append((n.name, m.start(), m.end(), sum(m.fuzzy_counts), text[m.start() : m.end()]))
+                out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
                 todo += [(a, m.start()), (m.end(), b)]
-        out.sort(key=lambda r: (r[1], r[2], r[0]))
-        return [r for r in out if not any(better(o, r) for o in out)]
+        return out
+
+    def scan(self, text: str) -> list[tuple[str, int, int, int, str]]:
+        low = lowered(text)
+        kept: list[tuple[int, int, int, int]] = []
+        for r in sorted(self.matches(low), key=lambda r: (r[3], r[1] - r[2], r[1])):
+            name = self.notices[r[0]].name
+            if not any(self.notices[o[0]].name == name and o[1] < r[2] and r[1] < o[2] for o in kept):
+                kept.append(r)
+        whole = [o for o in kept if VERSION.findall(self.notices[o[0]].text) == VERSION.findall(low[o[1] : o[2]])]
+        out = [(self.notices[i].name, a, b, edits, text[a:b]) for i, a, b, edits in kept if not any(better(o, (i, a, b, edits)) for o in whole)]
+        return sorted(out, key=lambda r: (r[1], r[2], r[0]))
+
+
+#: What tells versions of a notice apart: a match in which it was edited takes no other's place.
+VERSION = re.compile(r"\d+")
 
 
 def better(o: tuple, r: tuple) -> bool:
@@ -138,13 +156,14 @@ def scan_udf(found: list[Notice]):
     return scan
 
 
-def license_notices(docs: DataFrame, texts: dict[str, str] | None = None, rate: float = RATE) -> DataFrame:
+def license_notices(docs: DataFrame, texts: dict[str, str | tuple[str, ...]] | None = None, rate: float = RATE) -> DataFrame:
     """doc_id, notice, start, end (characters of the text), edits and matched for every notice found.
 
     A notice of n characters matches with int(rate * n) edits at most (one at least): insertions, deletions or substitutions, upper
     and lower case being equal.  Matches of one notice don't overlap: the best of a stretch first, then what is left of it and
-    right of it; different notices may, but of two that differ little the one with fewer edits is the match: one that another with
-    fewer edits covers by four fifths is left out.  Null and empty texts have none.  Null and repeated doc_ids are rows as any; other columns are left out.
+    right of it (of several wordings the one with fewest edits, the longest of equals); different notices may, but of two that differ
+    little the one with fewer edits is the match: one that another with fewer edits, its version number as it should be, covers by
+    four fifths is left out.  Null and empty texts have none.  Null and repeated doc_ids are rows as any; other columns are left out.
     """
     found = docs.select("doc_id", F.explode(scan_udf(notices(texts, rate))("text")).alias("n"))
     return found.select("doc_id", "n.*")

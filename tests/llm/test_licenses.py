@@ -53,3 +53,25 @@ def test_spans_and_odd_rows(spark):
         [("None", 0, 30, 0), ("3", 2, 32, 0), ("3", 35, 65, 0), ("3", 2, 32, 0), ("3", 35, 65, 0), ("4", 200_000, 200_030, 0)]
     )
     assert licenses.license_notices(docs.limit(0)).count() == 0
+
+
+def test_edited_version_3_notices_are_not_version_2():
+    scanner = licenses.Scanner(licenses.notices())
+    names = lambda text: {r[0] for r in scanner.scan(text)}
+    core = "licensed under the GNU General Public License, version "
+    for text in (
+        "This file is " + core + "3", "Thus wrk is " + core + "3", core + "3", "This program is free software, " + core + "3 or later",
+        "licenced under the GNU General Public Licence, version 3", "This work is licenced under the GNU General Public Licence version 3", "This work is " + core + "3",
+    ):
+        assert names(text) == {"GPL-3.0"}, text
+        assert [r[3] for r in scanner.scan(text)][0] <= 5
+    for text in (core + "2", "This work is " + core + "2", "licenced under the GNU General Public Licence, version 2"):
+        assert "GPL-2.0" in names(text), text
+    (exact,) = scanner.scan("x This work is " + core + "3 y")
+    assert exact[1:4] == (2, 2 + len("This work is " + core + "3"), 0)
+
+
+def test_no_match_gives_way_to_one_with_another_version():
+    texts = {"old": "under the terms of the Plain Licence, version 2", "new": "Offered under the terms of the Plain Licence, version 3"}
+    scanner = licenses.Scanner(licenses.notices(texts))
+    assert "new" in {r[0] for r in scanner.scan("ofered, under the terms of the Plain Licence, version 3")}
