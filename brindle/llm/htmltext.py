@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,15 +19,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: No alternative is tried twice, and but for what ends with the page none reads beyond the next "<": time grows with the page only.
+#: The tag is one whose values hold no "<"; others are for tag_end().
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|select)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"'=]++|=\s*+\"[^\"<]*+\"|=\s*+'[^'<]*+'|=(?!\s*+[\"'])|\"[^\"<]*+\"|'[^'<]*+'|(?<![=\s])[\"'])*+)>"
     r"|[^<]+|<",
     re.S | re.I,
 )
+_OPENS = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_PIECE = re.compile(r"[^<>\"'=]++|=\s*+[\"']?|\"[^\"<]*+\"|'[^'<]*+'|[\"'<>]")
+#: A tag with a quote that is no value's, up to the next ">".
+_BROKEN = re.compile(r"(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+(?=>)")
+_RAW = re.compile(r"(?:script|style|noscript|template|iframe|svg|textarea|select)\b", re.I)
 _ATTR = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_EVERY_ATTR = re.compile(r"([^\s\"'=/]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']++)))?|[\"'=/]")
 _GOOD = re.compile(r"article|body|content|entry|main|page|post|text|blog|story", re.I)
 _BAD = re.compile(r"\bads?\b|banner|combx|comment|contact|foot|masthead|meta|nav|outbrain|promo|related|scroll|share|side|sponsor|shopping|tags|widget", re.I)
 
@@ -47,6 +54,68 @@ LEAST = 25
 BREAK = "\n"
 
 
+def tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the ">" of a tag is whose attributes begin at ``at``; -1 if "<" or the page's end comes first.
+
+    A quote after "=" goes on to its like, whatever is between; if there is none, and elsewhere, it is a letter as any, but for two
+    without "<" between.  ``dead`` are places between attributes from which no end was found: none is tried twice.
+    """
+    tried = []
+    while at < len(page) and at not in dead:
+        tried.append(at)
+        m = _PIECE.match(page, at)
+        c = page[at]
+        if c == ">":
+            return at
+        if c == "<":
+            break
+        at = m.end()
+        if c == "=" and page[at - 1] in "\"'":
+            at = page.find(page[at - 1], at) + 1 or at
+    dead.update(tried)
+    return -1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str | None, bool]]:
+    """Texts (text, None), and tags (attributes, name, whether it closes) without comments and what isn't read as markup."""
+    at, dead, raw = 0, set(), {}
+    while at < len(page):
+        for m in _TOKEN.finditer(page, at):
+            at, name, ends, attrs = m.end(), m[2], bool(m[1]), m[3]
+            if name is None:
+                if page[m.start()] != "<":
+                    yield m[0], None, False
+                    continue
+                opens = _OPENS.match(page, m.start()) if m.end() - m.start() == 1 else None
+                if opens is None:
+                    if m.end() - m.start() == 1:
+                        yield "<", None, False
+                    continue
+                end = tag_end(page, opens.end(), dead)
+                if end < 0 and (broken := _BROKEN.match(page, opens.end())):
+                    end = broken.end()
+                if end < 0:
+                    yield "<", None, False
+                    continue
+                at, name, ends, attrs = end + 1, opens[2], bool(opens[1]), page[opens.end() : end]
+            name = name.lower()
+            if not ends and (kind := _RAW.match(name)):
+                close = raw.get(kind[0]) or raw.setdefault(kind[0], re.compile(rf"</{kind[0]}\s*>", re.I))
+                over = close.search(page, at)
+                at = over.end() if over else len(page)
+                break
+            yield attrs, name, ends
+            if at != m.end():
+                break
+
+
+def hints(attrs: str) -> str:
+    """The values of class and id."""
+    if "<" not in attrs:
+        return " ".join(x for a in _ATTR.findall(attrs) for x in a if x)
+    return " ".join(x for name, *a in _EVERY_ATTR.findall(attrs) if name.lower() in ("class", "id") for x in a if x)
+
+
 class Tree:
     """Elements in order of opening; each spans a range of text chunks."""
 
@@ -68,21 +137,17 @@ class Tree:
                 self.chunks.append(BREAK)
                 self.linked.append(False)
 
-        for m in _TOKEN.finditer(page):
-            name = m[3]
+        for text, name, ends in tokens(page):
             if name is None:
-                if m[1] is None and (page[m.start()] != "<" or m.end() - m.start() == 1):
-                    text = m[0]
-                    if "&" in text:
-                        text = entities.unescape(text)
-                    if count.get("title"):
-                        title.append(text)
-                    elif not count.get("head") or count.get("body"):
-                        self.chunks.append(text)
-                        self.linked.append(bool(count.get("a")))
+                if "&" in text:
+                    text = entities.unescape(text)
+                if count.get("title"):
+                    title.append(text)
+                elif not count.get("head") or count.get("body"):
+                    self.chunks.append(text)
+                    self.linked.append(bool(count.get("a")))
                 continue
-            name = name.lower()
-            if m[2]:
+            if ends:
                 if count.get(name):
                     at = len(stack) - 1
                     while self.tag[stack[at]] != name:
@@ -114,14 +179,13 @@ class Tree:
                 close(at)
             while len(stack) > 1 and self.tag[stack[-1]] in CLOSES.get(name, ()):
                 close(len(stack) - 1)
-            if name in VOID or m[4].endswith("/"):
+            if name in VOID or text.endswith("/"):
                 continue
             self.tag.append(name)
             self.parent.append(stack[-1])
             self.start.append(len(self.chunks))
             self.end.append(len(self.chunks))
-            attrs = m[4]
-            self.hint.append(" ".join(x for a in _ATTR.findall(attrs) for x in a if x) if attrs else "")
+            self.hint.append(hints(text) if text else "")
             stack.append(len(self.tag) - 1)
             count[name] = count.get(name, 0) + 1
         count["#root"] = 1

@@ -50,8 +50,8 @@ def commas(n):
     return sum(k.count(",") if isinstance(k, str) else commas(k) for k in n["kids"])
 
 
-def best(page):
-    tree = Plain(page)
+def best(page, parser=Plain):
+    tree = parser(page)
     density = lambda n: size(n, True) / size(n) if size(n) else 0.0
     scores = {}
     for n in walk(tree.root):
@@ -131,3 +131,49 @@ def test_odd_rows(spark):
     assert got[3].text.split() == ["one", "two", "three", "four"] and got[4].text == got[3].text
     assert got[5].text.split() == ["deep"] * 40 and got[6].text.count(",") == 200_000
     assert htmltext.main_text(pages.limit(0)).count() == 0
+
+
+def test_quoted_attributes_may_hold_any_markup():
+    for attr in ('title="x<y"', "title='x<y'", 'content="<p class=ad>no</p>"', 'data-a = "a > b < c"', 'title="it\'s <b>"', "data-a='<i id=\"nav\">' data-b"):
+        page = PAGE.replace('<div class="content">', f'<div {attr} class="content">').replace("<p>First", f"<p {attr}>First").replace('<a href="/">', f'<a {attr} href="/">')
+        page = page.replace("<script>", f"<script {attr}>").replace("<style>", f"<style {attr}>")
+        assert page != PAGE and htmltext.extract(page) == htmltext.extract(PAGE), attr
+        assert abs(htmltext.extract(page)[2] - best(page)) < 1e-9
+    assert htmltext.extract('<p>one <a href="never closed>two</a> three</p>')[1] == "one two three"
+    assert htmltext.extract("<p class=it's>one <b>two</b> isn't</p>")[1] == "one two isn't"
+
+
+class Lenient(Plain):
+    """Reads elements that are left open, too: all given pages have some."""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in htmltext.BLOCK and tag != "br":
+            e = self.at
+            while e["up"] and e["tag"] not in htmltext.BLOCK:
+                e = e["up"]
+            if e["tag"] == "p":
+                self.at = e["up"]
+        while self.at["tag"] in htmltext.CLOSES.get(tag, ()):
+            self.at = self.at["up"]
+        super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        e = self.at
+        while e and e["tag"] != tag:
+            e = e["up"]
+        if e and e["up"]:
+            self.at = e["up"]
+
+
+def test_scores_of_all_given_pages_equal_a_plain_recursion(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in htmltext.main_text(pages).collect():
+        assert abs(r.score - best(html[r.page_id], Lenient)) < 1e-6, r.page_id
+
+
+def test_time_of_quotes_grows_with_the_page_only():
+    began = time.time()
+    for unit in ("<a b=\"", "<a b=' c=\"", "=\"<a ='\" '\" =\"<b ", "<a x='\" y=\"' z=", "<a b=\"<i c='>\"", "<a =\"<\" ", "<a ==\"'<", "<a \"<", "<a = "):
+        htmltext.extract("<a b=" + unit * 30_000)
+    assert time.time() - began < 30
