@@ -105,8 +105,8 @@ def pred_ctx_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("pred_deepen")
 def pred_deepen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deepened context of every label: its embeddings' first four numbers as rows, three of them."""
-    e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("v")))), 1, 3).alias("r"))
+    """The deepened context of every label: all its embeddings at full width, in order of vec_id, as rows."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v")))).alias("r"))
     return e.select("label", predict.deepened(F.transform("r", lambda x: x["v"])).alias("context")).select("label", F.size("context").alias("rows"), F.transform("context", lambda r: F.transform(r, lambda x: F.round(x, 6))).alias("context"))
 
 
