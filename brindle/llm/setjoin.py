@@ -11,8 +11,9 @@ intersecting the sorted arrays of grams.
 
 ``prefix`` is the number of least grams that a set is found by.  None takes as many as make the join
 exact, size - ceil(threshold * size) + 1; a number k misses a pair of Jaccard J only if the k least grams
-of the one set have none in common with those of the other, less often than ((1 - J) / (1 + J))**k for sets of
-one size: with J = 0.5 and k = 6 once in 700.  There is no limit on partners or candidates: tiles of
+of the one set have none in common with those of the other: for large sets of a and b grams, c of them in
+common, at most (1 - c/a)**k + (1 - c/b)**k.  With J = 0.5 and k = 6 that is about 2 in 729 for sets of
+one size and 1 in 64 for a text and its half.  There is no limit on partners or candidates: tiles of
 many sets are cut into blocks, and every pair of blocks is a task's share of its own.
 """
 
