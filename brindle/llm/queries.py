@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, exactdedup, htmltext, licenses, mixing, quality, setjoin, sstable, substrings, warc
-from .common import table
+from .common import table, written
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sstable.sections(table(spark, sf_dir, "documents"))
+    """Token ids, encoded once: sections() reads its rows twice, for the ranges and for the shards."""
+    encoded = bpe.encode(table(spark, sf_dir, "documents")).select("doc_id", "tokens")
+    return sstable.sections(written(encoded, "encoded"), value="tokens")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brindle.llm import sstable
+from brindle.llm import bpe, queries, sstable
 
 
 def build(rows, block_bytes=64):
@@ -65,3 +66,12 @@ def test_token_ids_and_odd_rows(spark):
     two = (5).to_bytes(4, "little") + (70000).to_bytes(4, "little")
     assert got == [(-4, (9).to_bytes(4, "little")), (1, two), (1, two), (2, b""), (3, None)]
     assert sstable.sections(df.limit(0), value="tokens").count() == 0
+
+
+def test_the_query_stores_token_ids(spark, small):
+    shards = {}
+    for r in queries.op3_sorted_string_tables(spark, small).orderBy("shard", "offset").collect():
+        shards[r.shard] = shards.get(r.shard, b"") + bytes(r.content)
+    got = [(k, None if v is None else np.frombuffer(v, "<u4").tolist()) for raw in shards.values() for k, v in sstable.Shard(raw)]
+    want = [(r.doc_id, r.tokens) for r in bpe.encode(spark.read.parquet(f"{small}/documents.parquet")).collect() if r.doc_id is not None]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
