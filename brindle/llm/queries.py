@@ -68,6 +68,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_source_mixing": mixing.oracle(),
     "op5_warc_revisits": warc.oracle(),
+    "op8_ngram_jaccard_join": setjoin.oracle(),
     "op9_exact_dedup": """
         select doc_id, kept_id, copies
         from (select doc_id, min(kept) as kept_id, count(*) as copies

@@ -1,8 +1,11 @@
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from brindle.llm import setjoin
+from tests.compare import same
 
 
 def grams(text, n=3):
@@ -29,17 +32,41 @@ def close(a, b):
     return a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
-def test_exact_prefix_equals_brute_force(spark, small):
+def linked(texts, threshold=0.5):
+    """doc_id, class_id, set_id, n_same and n_links by comparing all pairs; one text a document."""
+    sets = {k: s for k, t in texts if (s := grams(t))}
+    pairs = brute(texts, threshold)
+    of, links = groups(pairs, sets), Counter(k for pair in pairs for k in pair)
+    alike = defaultdict(list)
+    for k, s in sets.items():
+        alike[frozenset(s)].append(k)
+    return {k: (of[k], min(alike[frozenset(s)]), len(alike[frozenset(s)]) - 1, links[k]) for k, s in sets.items() if links[k]}
+
+
+def rows(df):
+    found = df.collect()
+    out = {r.doc_id: (r.class_id, r.set_id, r.n_same, r.n_links) for r in found}
+    assert len(out) == len(found)
+    return out
+
+
+def representatives(texts, threshold=0.5):
+    first = {}
+    for k, t in sorted(texts):
+        first.setdefault(frozenset(grams(t)), (k, t))
+    return brute(list(first.values()), threshold)
+
+
+def test_given_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    truth = brute([(r.doc_id, r.text) for r in docs.collect()])
-    assert truth and close(got(setjoin.jaccard_join(docs, prefix=None)), truth)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    truth = linked(texts)
+    assert truth and rows(setjoin.jaccard_join(docs)) == truth
+    assert close(got(setjoin.similar_pairs(docs)), representatives(texts))
 
 
-def test_production_recall(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    truth = got(setjoin.jaccard_join(docs, prefix=None))
-    found = got(setjoin.jaccard_join(docs))
-    assert found.keys() <= truth.keys() and len(found) >= 0.9 * len(truth)
+def test_sql(spark, small, duck):
+    same(setjoin.jaccard_join(spark.read.parquet(f"{small}/documents.parquet")), duck, setjoin.oracle())
 
 
 def edited(spark, threshold=0.5):
@@ -56,17 +83,59 @@ def edited(spark, threshold=0.5):
 
 
 def test_edited_copies_across_bands(spark):
-    rows, docs = edited(spark)
+    texts, docs = edited(spark)
     for threshold in (0.5, 0.8):
-        truth = brute(rows, threshold)
-        assert close(got(setjoin.jaccard_join(docs, threshold=threshold, prefix=None)), truth)
-        assert len(got(setjoin.jaccard_join(docs, threshold=threshold))) >= 0.9 * len(truth)
-
-
-def test_blocks_of_a_crowded_tile(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "BLOCK", 200)
-    rows, docs = edited(spark)
-    assert close(got(setjoin.jaccard_join(docs, prefix=None)), brute(rows))
+        assert close(got(setjoin.similar_pairs(docs, threshold=threshold)), representatives(texts, threshold))
+        assert rows(setjoin.jaccard_join(docs, threshold=threshold)) == linked(texts, threshold)
+
+
+def crowd(spark):
+    """Edited copies of two texts, among texts that share passages with them and with one another."""
+    rng = np.random.default_rng(11)
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    bases, out = [say(80), say(80)], []
+    for k in range(200):
+        words = [f"e{rng.integers(10**6)}" if rng.random() < 0.01 * (k % 12) else w for w in bases[k % 2]]
+        out.append((k, " ".join(words[: 80 - 3 * (k % 7)])))
+    for k in range(200, 260):
+        out.append((k, " ".join(bases[k % 2][: int(rng.integers(5, 60))] + say(int(rng.integers(5, 60))))))
+    return out, spark.createDataFrame(out, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("hot, few", [(2, 32), (16, 2), (10**6, 32)])
+def test_crowds_whatever_is_hot(spark, monkeypatch, hot, few):
+    for name, value in (("HOT_LEAST", hot), ("FEW", few), ("BATCH", 4000), ("BLOCK", 256 * 40)):
+        monkeypatch.setattr(setjoin, name, value)
+    texts, docs = crowd(spark)
+    assert rows(setjoin.jaccard_join(docs.repartition(3))) == linked(texts)
+
+
+def test_table_of_hot_grams_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "HOT_LEAST", 2)
+    monkeypatch.setattr(setjoin, "HOT_MOST", 7)
+    texts, docs = crowd(spark)
+    assert len(setjoin.hot_table(setjoin.signatures(docs, 3))["gram"]) == 7
+    assert close(got(setjoin.similar_pairs(docs)), representatives(texts))
+
+
+def test_packed_runs():
+    rng = np.random.default_rng(2)
+    for n, high in ((1, 1 << 48), (2, 1 << 48), (5000, 1 << 48), (5000, 300)):
+        grams_, at = np.sort(rng.integers(0, high, n).astype(np.uint64)), rng.integers(0, 900, n)
+        sets = rng.integers(0, 1 << 62, 900).astype(np.uint64)
+        back, owner = setjoin.grams_unpacked(setjoin.grams_packed(grams_, at, sets))
+        assert (back == grams_).all() and (owner == sets[at]).all()
+
+
+def test_pairs_are_met_in_the_tile_of_their_least_key():
+    keys = [[1, 5, 9], [5, 9], [-3, 9], [9], [1, 9]]
+    offsets = np.cumsum([0] + [len(k) for k in keys])
+    x, y = np.triu_indices(len(keys), 1)
+    for key in (1, 5, 9):
+        mine = [(i, j) for i, j in zip(x, y) if key in keys[i] and key in keys[j]]
+        a, b = (np.array([p[k] for p in mine]) for k in range(2))
+        want = [min(set(keys[i]) & set(keys[j])) == key for i, j in mine]
+        assert not mine or setjoin.unmet(a, b, offsets, np.concatenate(keys), key).tolist() == want
 
 
 def groups(pairs, ids):
@@ -87,7 +156,7 @@ def test_dedup_keeps_one_of_each_group(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     ids = [r.doc_id for r in docs.collect()]
     of = groups(brute([(r.doc_id, r.text) for r in docs.collect()]), ids)
-    assert sorted(r.doc_id for r in setjoin.dedup(docs, prefix=None).collect()) == sorted(set(of.values()))
+    assert sorted(r.doc_id for r in setjoin.dedup(docs).collect()) == sorted(set(of.values()))
 
 
 def test_components_of_a_long_chain(spark):
@@ -98,12 +167,13 @@ def test_components_of_a_long_chain(spark):
 
 def test_odd_rows(spark):
     t = "one two three four five six seven"
-    rows = [(1, None), (2, ""), (3, "!!! ..."), (None, t), (4, t), (4, t), (5, t.upper() + "!"), (6, t + " eight"), (7, "x"), (8, "x"), (9, "w " * 60_000), (10, "w " * 60_000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = [(1, None), (2, ""), (3, "!!! ..."), (None, t), (4, t), (4, t), (5, t.upper() + "!"), (6, t + " eight"), (7, "x"), (8, "x"), (9, "w " * 60_000), (10, "w " * 60_000)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
     for name in ("id", "s", "f0", "size", "band", "bucket", "key"):
         docs = docs.withColumn(name, docs.doc_id)
-    found = got(setjoin.jaccard_join(docs, prefix=None))
-    assert found.keys() == {(4, 5), (4, 6), (5, 6), (7, 8), (9, 10)} and found[(4, 5)] == 1 and abs(found[(4, 6)] - 5 / 6) < 1e-12
-    kept = setjoin.dedup(docs, prefix=None)
+    assert rows(setjoin.jaccard_join(docs)) == {4: (4, 4, 1, 2), 5: (4, 4, 1, 2), 6: (4, 6, 0, 2), 7: (7, 7, 1, 1), 8: (7, 7, 1, 1), 9: (9, 9, 1, 1), 10: (9, 9, 1, 1)}
+    found = got(setjoin.similar_pairs(docs))
+    assert found.keys() == {(4, 6)} and abs(found[(4, 6)] - 5 / 6) < 1e-12
+    kept = setjoin.dedup(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "None", "4", "4", "7", "9"])
     assert setjoin.jaccard_join(docs.limit(0)).count() == 0 and setjoin.dedup(docs.limit(0)).count() == 0
