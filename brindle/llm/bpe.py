@@ -2,8 +2,10 @@
 
 Pre-tokens that are in the vocabulary as they stand are resolved by a minimal perfect hash (hash and displace):
 one hash, one displacement, one comparison.  The rest is merged with a heap of candidate pairs over a linked list
-of bytes, lowest rank first and leftmost of equal ranks.  What a worker has resolved it remembers, in two
-generations of bounded size.  Vocabularies are files of base64 tokens and ranks, at a path that is a parameter; they
+of bytes, lowest rank first and leftmost of equal ranks.  Texts are cut into pre-tokens by the classes of their characters, a
+batch at a time, and each pre-token is hashed as a slice of the batch; what a worker has resolved it remembers by that hash, in a
+table of bounded size.  Two pre-tokens of one hash can't go unseen: the tokens' bytes are compared with the text's, and where they
+differ the texts are encoded one by one.  Vocabularies are files of base64 tokens and ranks, at a path that is a parameter; they
 are read on the driver and broadcast.
 """
 
@@ -11,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from pathlib import Path
 
 import numpy as np
@@ -25,12 +26,9 @@ from . import textbuf
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts of ASCII and Latin letters, in the faster standard library.
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\s+(?!\S)|\s+")
-_OTHER = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ɏ]")
-_ANY = regex.compile(PATTERN)
-#: Pre-tokens that a worker remembers in each of its two generations.
-REMEMBERED = 120_000
+_PRETOKEN = regex.compile(PATTERN)
+#: Pre-tokens that a worker remembers: slots by hash, and token ids of all slots before they are emptied.
+SLOT_BITS, POOL = 20, 1 << 22
 _M64 = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 
@@ -45,7 +43,7 @@ def load(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 def pretokens(text: str) -> list[str]:
-    return (_ANY if _OTHER.search(text) else _LATIN).findall(text)
+    return _PRETOKEN.findall(text)
 
 
 class PerfectHash:
@@ -127,32 +125,160 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Codec(dict):
-    """Packed ids of pre-tokens, resolved when first asked for."""
+# Pre-tokens of a batch.
+
+_LETTER, _NUMBER, _BLANK, _REST = 1, 2, 3, 4
+_classes: list[np.ndarray] = []
+
+
+def character_classes() -> np.ndarray:
+    """The class of every code point: letter, number, white space or any other."""
+    if not _classes:
+        every, out = "".join(map(chr, range(0x110000))), np.full(0x110000, _REST, np.uint8)
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                out[m.start() : m.end()] = kind
+        _classes.append(out)
+    return _classes[0]
+
+
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte of UTF-8 is of."""
+    table = character_classes()
+    out = table[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        more = np.concatenate([data, np.zeros(3, np.uint8)])
+        b0, b1, b2, b3 = (more[lead + k].astype(np.int32) & (255 if k == 0 else 63) for k in range(4))
+        three, four = b0 >= 0xE0, b0 >= 0xF0
+        code = np.where(four, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3, np.where(three, (b0 & 15) << 12 | b1 << 6 | b2, (b0 & 31) << 6 | b1))
+        kind = table[code]
+        out[lead] = kind
+        for k, of in ((1, slice(None)), (2, three), (3, four)):
+            out[lead[of] + k] = kind[of]
+    return out
+
+
+def boundaries(data: np.ndarray, row_byte: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of rows of UTF-8 begin, as PATTERN cuts them."""
+    n = len(data)
+    kind = byte_classes(data)
+    row_starts = np.zeros(n + 1, bool)
+    row_starts[row_byte] = True
+    edge = row_starts[:n].copy()
+    edge[1:] |= kind[1:] != kind[:-1]
+    runs = np.flatnonzero(edge)
+    ends = np.append(runs[1:], n)
+    # white space: its last character is a pre-token of its own, or belongs to what follows it if it is a space
+    between = (kind[runs] == _BLANK) & ~row_starts[ends]
+    after = ends[between]
+    last = after - 1
+    for _ in range(3):
+        last = last - ((data[last] & 0xC0) == 0x80)
+    edge[last] = True
+    edge[after[data[last] == 0x20]] = False
+    # contractions: 's, 't, 'm, 'd, 're, 've, 'll at the begin of a pre-token
+    quote = np.flatnonzero(edge & (data == 0x27))
+    if len(quote):
+        stop = row_byte[np.searchsorted(row_byte, quote, side="right")]
+        more = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int32)
+        one, two = more[quote + 1], more[quote + 1] << 8 | more[quote + 2]
+        size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, np.where(np.isin(two, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]), 3, 0))
+        fits = (size > 0) & (quote + size <= stop)
+        quote, size, stop = quote[fits], size[fits], stop[fits]
+        edge[quote + 1] = False
+        edge[(quote + size)[quote + size < stop]] = True
+    return np.flatnonzero(edge)
+
+
+class Codec:
+    """Token ids of texts by a vocabulary, and texts of token ids."""
 
     def __init__(self, ranks: dict[bytes, int], table: PerfectHash | None = None) -> None:
-        super().__init__()
         self.ranks, self.table = ranks, table or PerfectHash(ranks)
-        self.kind = np.dtype("<u2" if len(ranks) <= 1 << 16 else "<i4")
-        self.old: dict[str, bytes] = {}
         self.bytes_of = [b""] * len(ranks)
         for token, r in ranks.items():
             self.bytes_of[r] = token
-
-    def __missing__(self, pretoken: str) -> bytes:
-        packed = self.old.get(pretoken)
-        if packed is None:
-            word = pretoken.encode()
-            whole = self.table.get(word)
-            packed = np.array([whole] if whole >= 0 else merge(word, self.ranks), self.kind).tobytes()
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[pretoken] = packed
-        return packed
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, pretokens(text))), self.kind)
+        self.sizes = np.array([len(b) for b in self.bytes_of])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.at, self.n = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+        self.pool, self.filled = np.zeros(POOL, np.int32), 0
+
+    def resolve(self, pretoken: bytes) -> list[int]:
+        whole = self.table.get(pretoken)
+        return [whole] if whole >= 0 else merge(pretoken, self.ranks)
+
+    def _lookup(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Token ids of all pre-tokens, and how many each has."""
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        known = self.hashes[slot] == hashes
+        at, n = self.at[slot], self.n[slot]
+        miss = np.flatnonzero(~known)
+        pool = self.pool
+        if len(miss):
+            own, first, which = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            found = [self.resolve(raw[a:b]) for a, b in zip(start[miss[first]].tolist(), end[miss[first]].tolist())]
+            sizes = np.array([len(f) for f in found], np.int32)
+            ids = np.array([i for f in found for i in f], np.int32)
+            if self.filled + len(ids) > POOL:
+                at, n = np.where(known, at, 0), np.where(known, n, 0)
+                pool = np.concatenate([self.pool[: self.filled], ids])  # of this batch only
+                begin = self.filled + np.cumsum(sizes) - sizes
+                self._forget()
+            else:
+                begin = (self.filled + np.cumsum(sizes) - sizes).astype(np.int32)
+                self.pool[self.filled : self.filled + len(ids)] = ids
+                self.filled += len(ids)
+                to = slot[miss[first]]
+                self.hashes[to], self.at[to], self.n[to] = own, begin, sizes
+            at, n = at.astype(np.int64), n.astype(np.int64)
+            at[miss], n[miss] = begin[which], sizes[which]
+        before = np.cumsum(n) - n
+        return pool[np.repeat(at - before, n) + np.arange(int(n.sum()))], n
+
+    def encode_rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of all texts, how many each has, and whether decoding them gives the text back."""
+        values, counts, exact = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+        data, offsets = textbuf.buffers(texts)
+        i = 0
+        while i < len(texts):
+            j = min(max(int(np.searchsorted(offsets, offsets[i] + textbuf.CHUNK, side="right")) - 1, i + 1), len(texts))
+            part, row_byte = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if len(part):
+                start = boundaries(part, row_byte)
+                end = np.append(start[1:], len(part))
+                hashes = textbuf.slices(textbuf.prefix(textbuf.CODE[part], textbuf.BASE), start, end, textbuf.BASE)
+                ids, n = self._lookup(hashes, part, start, end)
+                upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, row_byte)]
+                if self._same(ids, upto, part, row_byte):
+                    counts[i:j] = np.diff(upto)
+                    values.append(ids)
+                else:
+                    for r in range(i, j):
+                        raw = data[offsets[r] : offsets[r + 1]].tobytes()
+                        own = self.encode(raw.decode())
+                        counts[r], exact[r] = len(own), self.decode_bytes(own) == raw
+                        values.append(np.array(own, np.int32))
+            i = j
+        return np.concatenate(values), counts, exact
+
+    def _same(self, ids: np.ndarray, upto: np.ndarray, data: np.ndarray, row_byte: np.ndarray) -> bool:
+        """Are the tokens' bytes those of each row?"""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        if (ends[upto] != row_byte).any():
+            return False
+        return bool((self.flat[np.repeat(self.begins[ids] - ends[:-1], sizes) + np.arange(len(data))] == data).all())
+
+    def encode(self, text: str) -> list[int]:
+        """Token ids of one text, pre-token by pre-token."""
+        return [i for p in pretokens(text) for i in self.resolve(p.encode())]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -189,22 +315,12 @@ def encode_udf(shared):
 
     @F.arrow_udf(ENCODED)
     def encode(text: pa.Array) -> pa.Array:
-        codec = _codec(shared)
-        parts, lengths, exact, null = [], [], [], []
-        for at in range(0, len(text), 256):
-            for x in text.slice(at, 256).to_pylist():
-                ids = codec.encode(x) if x else np.zeros(0, codec.kind)
-                parts.append(ids)
-                lengths.append(len(ids))
-                null.append(x is None)
-                exact.append(codec.decode_bytes(ids.tolist()) == x.encode() if x else True)
-        offsets = np.zeros(len(lengths) + 1, np.int32)
-        np.cumsum(lengths, out=offsets[1:])
-        values = np.concatenate(parts) if parts else np.zeros(0, codec.kind)
-        del parts
-        tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+        values, counts, exact = _codec(shared).encode_rows(text)
+        offsets = np.zeros(len(text) + 1, np.int32)
+        np.cumsum(counts, out=offsets[1:])
+        tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
         textbuf.release()
-        return pa.StructArray.from_arrays([tokens, pa.array(exact, pa.bool_())], names=["tokens", "exact"], mask=pa.array(null, pa.bool_()))
+        return pa.StructArray.from_arrays([tokens, pa.array(exact)], names=["tokens", "exact"], mask=text.is_null())
 
     return encode
 

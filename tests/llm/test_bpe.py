@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -23,22 +24,45 @@ def test_perfect_hash_is_minimal_and_exact():
     assert all(table.get(t + b"\x00zz") == ranks.get(t + b"\x00zz", -1) for t in list(ranks)[:2000])
 
 
-@settings(deadline=None, max_examples=300)
-@given(st.text(max_size=60))
-def test_any_text_as_the_public_library_does(text):
-    codec, other = test_any_text_as_the_public_library_does.pair
-    ids = codec.encode(text).tolist()
-    assert ids == other.encode_ordinary(text) and codec.decode(ids) == text
+def rows_of(codec, texts):
+    """The batch path's ids of each text, and how many texts came through it."""
+    values, counts, exact = codec.encode_rows(pa.array(texts, pa.string()))
+    assert exact.all()
+    ends = np.cumsum(counts)
+    return [values[e - n : e].tolist() for e, n in zip(ends, counts)]
+
+
+#: Characters at which pre-tokens are cut, among any others.
+MIXED = st.text(st.one_of(st.sampled_from("''  \n\t\xa0\u3000\x1c\x85stmdrevlSé1²日!"), st.characters(codec="utf-8")), max_size=40)
+
+
+@settings(deadline=None, max_examples=400)
+@given(st.lists(MIXED, max_size=8))
+def test_any_texts_as_the_public_library_does(texts):
+    codec, other = test_any_texts_as_the_public_library_does.pair
+    want = [other.encode_ordinary(t) for t in texts]
+    assert rows_of(codec, texts) == want and [codec.encode(t) for t in texts] == want
+    assert [codec.decode(ids) for ids in want] == texts
+
+
+@settings(deadline=None, max_examples=400)
+@given(st.lists(MIXED, max_size=8))
+def test_boundaries_as_the_pattern_has_them(texts):
+    raw = [t.encode() for t in texts]
+    row_byte = np.cumsum([0] + [len(r) for r in raw])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    want = [at + sum(len(p.encode()) for p in cut[:k]) for at, t in zip(row_byte, texts) for cut in [bpe.pretokens(t)] for k in range(len(cut))]
+    assert not len(data) or bpe.boundaries(data, row_byte).tolist() == want
 
 
 _ranks = bpe.load(PATHS[0])
-test_any_text_as_the_public_library_does.pair = (bpe.Codec(_ranks), tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=_ranks, special_tokens={}))
+test_any_texts_as_the_public_library_does.pair = (bpe.Codec(_ranks), tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=_ranks, special_tokens={}))
 
 
 @pytest.mark.parametrize("text", ["", " ", "   \n\n x", "a" * 5000, "don't  we'll", "x\x1c\x1d\x1e\x1fy\x85z", "1²½Ⅻ٣", "naïve ÀÖØ÷× ʼn ɏ ɐ", "日本語テキスト", "👩‍👩‍👧", "<|endoftext|>", "    a", "ǅ ǈ ª º µ"])
 def test_hard_texts(pair, text):
     codec, other = pair
-    assert codec.encode(text).tolist() == other.encode_ordinary(text)
+    assert codec.encode(text) == other.encode_ordinary(text) and rows_of(codec, [text, "x", text]) == [other.encode_ordinary(t) for t in (text, "x", text)]
 
 
 def test_documents(spark, small, pair):
@@ -51,10 +75,22 @@ def test_documents(spark, small, pair):
 
 
 def test_memory_of_a_worker_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    monkeypatch.setattr(bpe, "SLOT_BITS", 4)
+    monkeypatch.setattr(bpe, "POOL", 100)
+    codec = bpe.Codec(_ranks, bpe.PerfectHash(_ranks))
+    texts = [" ".join(f"q{i}z" for i in range(k, k + 30)) for k in range(0, 300, 20)] * 2
+    for _ in range(2):
+        assert [codec.decode(ids) for ids in rows_of(codec, texts)] == texts
+        for t in texts:
+            assert rows_of(codec, [t]) == [codec.encode(t)]
+    assert len(codec.hashes) == 16 and len(codec.pool) == 100 and codec.filled <= 100
+
+
+def test_pre_tokens_of_one_hash_do_no_harm(monkeypatch):
     codec = bpe.Codec(_ranks, bpe.PerfectHash(_ranks))
-    text = " ".join(f"q{i}z" for i in range(200))
-    assert codec.decode(codec.encode(text).tolist()) == text and len(codec) <= 10 and len(codec.old) <= 10
+    monkeypatch.setattr(bpe.textbuf, "slices", lambda pre, start, end, base: np.full(len(start), 77, np.uint64))
+    texts = ["two words", "", None, "naïve"]
+    assert rows_of(codec, texts) == [codec.encode(t or "") for t in texts]
 
 
 def test_odd_rows(spark):
