@@ -20,35 +20,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import own_names, written
+from .common import own_names, small_side, written
 
 FAN = 8
-NO_ID = 2**63 - 1
-#: SHA-256 as four words in the machine's order (numpy brings records that it joins into that order), the text's length in bytes (which verifies it), identifier, copies.
-ENTRY = np.dtype([("digest", "<u8", 4), ("size", "<i8"), ("id", "<i8"), ("n", "<i8")])
+#: SHA-256 as four words in the machine's order (numpy brings records that it joins into that order), the text's length in bytes (which verifies it), identifier or that there is none, copies.
+ENTRY = np.dtype([("digest", "<u8", 4), ("size", "<i8"), ("none", "<i8"), ("id", "<i8"), ("n", "<i8")])
 RUN = "lane long, run long, entries binary"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """digest, size and id of every row with a text; a null doc_id ranks after all others."""
-    return docs.where("text is not null").select(
-        F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("size"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
-    )
+    """digest, size and id of every row with a text."""
+    return docs.where("text is not null").select(F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("size"), F.col("doc_id").alias("id"))
 
 
 def merge(runs: list[np.ndarray]) -> np.ndarray:
-    """One sorted run of several: of the entries with equal digest and size, the smallest identifier and all copies."""
+    """One sorted run of several: of the entries with equal digest and size, the smallest identifier (none counts as the largest) and all copies."""
     every = np.concatenate(runs) if runs else np.zeros(0, ENTRY)
     if not len(every):
         return every
-    keys = every["digest"]
-    order = np.lexsort((every["id"], every["size"], keys[:, 3], keys[:, 2], keys[:, 1], keys[:, 0]))
-    every = every[order]
-    keys = every["digest"]
-    new = np.ones(len(every), bool)
-    new[1:] = (keys[1:] != keys[:-1]).any(axis=1) | (every["size"][1:] != every["size"][:-1])
-    out = every[new].copy()
-    out["n"] = np.add.reduceat(every["n"], np.flatnonzero(new))
+    differ = lambda e: (e["digest"][1:] != e["digest"][:-1]).any(axis=1) | (e["size"][1:] != e["size"][:-1])
+    merged = every[np.argsort(every["digest"][:, 0], kind="stable")]  # a natural merge sort: it finds the sorted runs and merges them
+    other = differ(merged)
+    if (other & (merged["digest"][1:, 0] == merged["digest"][:-1, 0])).any():  # digests that begin alike
+        keys = every["digest"]
+        merged = every[np.lexsort((every["size"], keys[:, 3], keys[:, 2], keys[:, 1], keys[:, 0]))]
+        other = differ(merged)
+    start = np.flatnonzero(np.concatenate([[True], other]))
+    out = merged[start].copy()
+    out["none"] = np.minimum.reduceat(merged["none"], start)
+    out["id"] = np.minimum.reduceat(np.where(merged["none"] > 0, np.iinfo(np.int64).max, merged["id"]), start)
+    out["n"] = np.add.reduceat(merged["n"], start)
     return out
 
 
@@ -77,8 +78,9 @@ def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = np.zeros(b.num_rows, ENTRY)
         if b.num_rows:
             run["digest"] = np.frombuffer(b"".join(b.column(0).to_pylist()), ">u8").reshape(-1, 4)
-            run["size"], run["id"], run["n"] = b.column(1).to_numpy(), b.column(2).to_numpy(), 1
-            runs.append(merge([run]))
+            run["size"], run["n"] = b.column(1).to_numpy(), 1
+            run["none"], run["id"] = b.column(2).is_null().to_numpy(zero_copy_only=False), b.column(2).fill_null(0).to_numpy()
+            runs.append(merge([run[np.argsort(run["digest"][:, 0])]]))
         if len(runs) > FAN:
             runs = [merge(runs)]
     if runs:
@@ -100,7 +102,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b.column("entries").to_pylist():
             run = np.frombuffer(x, ENTRY)
             fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(run), [None, pa.py_buffer(run["digest"].astype(">u8").tobytes())])
-            yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary()), pa.array(run["size"]), pa.array(run["id"]), pa.array(run["n"])], names=["digest", "size", "kept", "n"])
+            yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary()), pa.array(run["size"]), pa.array(run["id"], mask=run["none"] > 0), pa.array(run["n"])], names=["digest", "size", "kept", "n"])
 
 
 def survivors(found: DataFrame) -> DataFrame:
@@ -122,26 +124,31 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     Texts are equal if all their bytes are; empty texts equal each other; null texts equal nothing and aren't listed.
     A doc_id whose text is there only in repeated rows of its own is listed with itself, once; copies counts
-    the rows of that doc_id and text.  A null doc_id counts as the largest.  Other columns aren't looked at.
+    the rows of that doc_id and text.  A null doc_id counts as larger than any.  Other columns aren't looked at.
     """
     found = written(digests(docs), "digests")
     own = found.groupBy("digest", "size", "id").agg(F.count("*").alias("copies"))
-    unclear = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return (
-        own.join(survivors(found).where("n > 1").drop("n"), ["digest", "size"])
-        .where("id <> kept or copies > 1")
-        .select(unclear("id").alias("doc_id"), unclear("kept").alias("kept_id"), "copies")
-    )
+    repeated = survivors(found).where("n > 1").drop("n")
+    return own.join(repeated, ["digest", "size"]).where("not (id <=> kept) or copies > 1").select(F.col("id").alias("doc_id"), F.col("kept").alias("kept_id"), "copies")
 
 
 @own_names
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs but for copies: of each distinct text one row, of the smallest doc_id (null: the largest), stays.
 
-    Rows with a null text all stay.  All columns stay as they are.
+    Of several rows with that text and doc_id the one stays whose columns, written as JSON, come first.  Rows with a null
+    text all stay.  All columns stay as they are.
     """
-    keep = survivors(digests(docs)).select(F.col("digest").alias("__d"), F.col("size").alias("__s"), F.col("kept").alias("__k"))
-    own = docs.withColumns({"__d": F.unhex(F.sha2("text", 256)), "__s": F.octet_length("text").cast("long"), "__k": F.coalesce("doc_id", F.lit(NO_ID))})
-    one = Window.partitionBy("__k", "__d", "__s").orderBy("__k")
-    kept = own.where("text is not null").join(keep, ["__k", "__d", "__s"], "left_semi").withColumn("__r", F.row_number().over(one)).where("__r = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("text is null"))
+    found = written(digests(docs), "digests")
+    counted = found.groupBy("digest", "size", "id").agg(F.count("*").alias("rows")).join(survivors(found).where("n > 1").drop("n"), ["digest", "size"])
+    copies = counted.where("not (id <=> kept) or rows > 1").select(F.col("digest").alias("__d"), F.col("size").alias("__s"), F.col("id").alias("__k"), F.expr("id <=> kept").alias("__again"))
+    copies = small_side(written(copies, "copies"), 1 << 18)
+    named = docs.withColumns({"__digest": F.unhex(F.sha2("text", 256)), "__size": F.octet_length("text").cast("long")})
+    match = (F.col("__digest") == F.col("__d")) & (F.col("__size") == F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__k"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept, again = named.join(copies, match, "left_anti").select(*columns), copies.where("__again")
+    if again.isEmpty():
+        return kept
+    one = Window.partitionBy("__digest", "__size").orderBy(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    first = named.join(again, match, "left_semi").withColumn("__r", F.row_number().over(one)).where("__r = 1").select(*columns)
+    return kept.unionByName(first)
