@@ -336,14 +336,15 @@ def decode_udf(shared):
     return decode
 
 
-def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, tokens, n_tokens and exact (decoding gives the text back) of every row of docs.
+def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, tokens, n_tokens and exact (decoding gives the text back) of every row of docs.
 
     Null text: tokens, n_tokens and exact are null; the empty text has no tokens.  Null and repeated doc_ids are rows as
     any.  Strings of special tokens are ordinary text.  Other columns are left out.
     """
-    found = docs.select("doc_id", encode_udf(share(docs.sparkSession, vocabulary))("text").alias("e"))
-    return found.select("doc_id", "e.tokens", F.when(F.col("e").isNotNull(), F.size("e.tokens")).alias("n_tokens"), "e.exact")
+    also = [F.col(f"`{c}`") for c in keep]
+    found = docs.select("doc_id", *also, encode_udf(share(docs.sparkSession, vocabulary))("text").alias("e"))
+    return found.select("doc_id", *also, "e.tokens", F.when(F.col("e").isNotNull(), F.size("e.tokens")).alias("n_tokens"), "e.exact")
 
 
 def decode(encoded: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:

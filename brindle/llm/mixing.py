@@ -3,9 +3,11 @@
 Slot t of the schedule gets the point frac((t + 1) * golden ratio); the source in whose interval of the cumulative
 weights it lies fills it.  Such points fill every interval evenly, so that every stretch of
 the schedule, not only the whole, has the target weights.  Each source's documents, shuffled by hash, are one string of
-words cut into blocks of equal length; the r-th slot of a source takes its block r modulo the
-source's blocks.  Texts cross the network once: cumulative word counts come from bucket totals of a small
-table, and the slots of a bucket's blocks are joined to the bucket.
+tokens cut into blocks of equal length; the r-th slot of a source takes its block r modulo the
+source's blocks.  Documents cross the network once: cumulative counts come from bucket totals of a small
+table, and the slots of a bucket's blocks are joined to the bucket.  A document is cut into all its pieces in one pass over it.
+
+Tokens are the elements of an array column, or the words of a text that has not been encoded.
 """
 
 from __future__ import annotations
@@ -15,9 +17,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from decimal import Decimal, getcontext
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import textbuf
 from .common import own_names, small_side, written
 
 getcontext().prec = 60
@@ -26,14 +32,15 @@ GOLDEN = float(_GOLDEN)
 #: What 2**20 steps add, so that points stay exact for schedules of any length.
 LEAP = float((_GOLDEN * (1 << 20)) % 1)
 
-BLANK = r" \t\n\x0B\f\r"
-WORD = rf"[^{BLANK}]+[{BLANK}]*"
+#: White space that ends a word.
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1 << 16
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Of each source: its key, words, blocks and the end of its interval; and the slots of the schedule."""
+    """Of each source: its key, tokens, blocks and the end of its interval; and the slots of the schedule."""
 
     sources: tuple[tuple[str, int, int, float], ...]
     slots: int
@@ -50,8 +57,56 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(rf"[^{BLANK}]+")).cast("long"), F.lit(0).cast("long"))
+def word_starts(data: np.ndarray, row_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes at which the words of rows of a text begin, and how many are before each row."""
+    solid = ~BLANK[data]
+    opens = solid.copy()
+    opens[1:] &= ~solid[:-1]
+    inner = row_byte[(row_byte > 0) & (row_byte < len(data))]
+    opens[inner] |= solid[inner]
+    start = np.flatnonzero(opens)
+    return start, np.searchsorted(start, row_byte)
+
+
+@F.arrow_udf(T.LongType())
+def count_words(text: pa.Array) -> pa.Array:
+    data, offsets = textbuf.buffers(text)
+    return pa.array(np.diff(word_starts(data, offsets)[1]))
+
+
+def count_tokens(docs: DataFrame, content: str) -> Column:
+    if isinstance(docs.schema[content].dataType, T.ArrayType):
+        return F.when(F.col(f"`{content}`").isNull(), 0).otherwise(F.size(f"`{content}`")).cast("long")
+    return count_words(F.col(f"`{content}`"))
+
+
+def piece_bounds(count: np.ndarray, lead: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of so many tokens, ``lead`` of whose first block are before them: pieces of each, and row and first token of all pieces."""
+    pieces = (lead + count - 1) // block + 1
+    row = np.repeat(np.arange(len(count)), pieces)
+    nth = np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]
+    return pieces, row, np.maximum(0, nth * block - lead[row])
+
+
+def cut_udf(kind: T.DataType, block: int):
+    """A document's pieces, one of each block that it reaches into, without copying what is cut."""
+
+    @F.arrow_udf(T.ArrayType(kind))
+    def cut(content: pa.Array, lead: pa.Array) -> pa.Array:
+        lead = lead.to_numpy(zero_copy_only=False)
+        if isinstance(kind, T.ArrayType):
+            offsets = content.offsets.to_numpy().astype(np.int64)
+            pieces, row, first = piece_bounds(np.diff(offsets), lead, block)
+            inner = pa.ListArray.from_arrays(pa.array(np.append(offsets[:-1][row] + first, offsets[-1]).astype(np.int32)), content.values)
+        else:
+            data, offsets = textbuf.buffers(content)
+            start, before = word_starts(data, offsets)
+            pieces, row, first = piece_bounds(np.diff(before), lead, block)
+            at = np.where(first == 0, offsets[:-1][row], start[np.minimum(before[:-1][row] + first, len(start) - 1)])
+            inner = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(pieces)).astype(np.int32)), inner)
+
+    return cut
 
 
 def shuffled(seed: int) -> Column:
@@ -107,21 +162,24 @@ def schedule(spark: SparkSession, plan: Plan) -> DataFrame:
 
 @own_names
 def mix(
-    docs: DataFrame, *, weights: Mapping[str | None, float] | None = None, temperature: float = 0.8, block: int = 2048, slots: int | None = None, seed: int = 0, bucket_blocks: int = 256
+    docs: DataFrame, *, content: str = "text", weights: Mapping[str | None, float] | None = None, temperature: float = 0.8, block: int = 2048, slots: int | None = None, seed: int = 0,
+    bucket_blocks: int = 256,
 ) -> DataFrame:
-    """The columns of docs, with ``text`` cut to the piece in a slot, and slot, epoch, block, at (the piece's first word in the block), first_word and n_words.
+    """The columns of docs, with ``content`` cut to the piece in a slot, and slot, epoch, block, at (the piece's first token in the block), first_token and n_tokens.
 
-    ``weights`` maps sources to target weights; without it a source of n words weighs n**temperature.  A block has
-    ``block`` words, a source's last what is left.  Without ``slots`` the schedule is long enough that every block has a slot; sources
+    The tokens of an array column (of token ids) are its elements, those of a text are its words.
+    ``weights`` maps sources to target weights; without it a source of n tokens weighs n**temperature.  A block has
+    ``block`` tokens, a source's last what is left.  Without ``slots`` the schedule is long enough that every block has a slot; sources
     that weigh more than their share repeat in epochs.  Words are what ASCII white space separates; each takes the white space behind
-    it (a text's first also what is before it), so the pieces of a text join to it.  Texts without words (null, empty, blank) fill no slot.  A null
+    it (a text's first also what is before it), so the pieces of a text join to it.  Contents without tokens (null, empty, blank) fill no slot.  A null
     source is a source of its own (None in ``weights``).  Documents are in the order of the MD5 of seed and doc_id (null as
-    "null"), then of the text; repeated rows each count.  Columns of docs named as an added one are replaced by it; extra columns pass through.
-    """
+    "null"), then of the content; repeated rows each count.  Columns of docs named as an added one are replaced by it; extra columns pass through.
+    """
     spark = docs.sparkSession
-    added = ("slot", "epoch", "block", "at", "first_word", "n_words")
+    added = ("slot", "epoch", "block", "at", "first_token", "n_tokens")
     columns = [c for c in docs.columns if c not in added]
-    light = written(docs.select(source_key(F.col("source")).alias("__key"), shuffled(seed).alias("__u"), count_words(F.col("text")).alias("__n")).where("__n > 0"), "word-counts")
+    count = count_tokens(docs, content).alias("__n")
+    light = written(docs.select(source_key(F.col("source")).alias("__key"), shuffled(seed).alias("__u"), count).where("__n > 0"), "token-counts")
     totals = [(r[0], r[1]) for r in light.groupBy("__key").agg(F.sum("__n")).collect()]  # a row a source
     plan = schedule_plan(totals, block, weights, temperature, slots)
     if not plan.slots:
@@ -130,39 +188,36 @@ def mix(
     sizes = spark.createDataFrame([(k, max(1, -(-b // bucket_blocks))) for k, _, b, _ in plan.sources], "__key string, __buckets long")
     bucket = F.floor(F.conv(F.substring("__u", 1, 8), 16, 10).cast("long") * F.col("__buckets") / F.lit(float(1 << 32)))
     sizes = small_side(sizes, 1 << 16)
-    filled = light.join(sizes, "__key").groupBy("__key", bucket.alias("__bucket")).agg(F.sum("__n").alias("__words"))
+    filled = light.join(sizes, "__key").groupBy("__key", bucket.alias("__bucket")).agg(F.sum("__n").alias("__tokens"))
     offsets = written(
-        filled.withColumn("__from", F.sum("__words").over(Window.partitionBy("__key").orderBy("__bucket")) - F.col("__words")), "bucket-offsets"
+        filled.withColumn("__from", F.sum("__tokens").over(Window.partitionBy("__key").orderBy("__bucket")) - F.col("__tokens")), "bucket-offsets"
     )
-    parts = offsets.select("__key", "__bucket", "__from", F.explode(F.sequence(F.floor(F.col("__from") / block), F.floor((F.col("__from") + F.col("__words") - 1) / block))).alias("__block"))
+    parts = offsets.select("__key", "__bucket", "__from", F.explode(F.sequence(F.floor(F.col("__from") / block), F.floor((F.col("__from") + F.col("__tokens") - 1) / block))).alias("__block"))
     times = schedule(spark, plan).select(F.col("key").alias("__key"), F.col("block").alias("__block"), "slot", "epoch")
     placed = (
         parts.join(times, ["__key", "__block"], "left")
         .groupBy("__key", "__bucket", "__from", "__block").agg(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "epoch"))).alias("times"))
         .groupBy("__key", "__bucket", "__from").agg(F.array_sort(F.collect_list(F.struct("__block", "times"))).alias("__blocks"))
     )
-    own = docs.select(*[F.col(f"`{c}`") for c in columns], source_key(F.col("source")).alias("__key"), shuffled(seed).alias("__u"), count_words(F.col("text")).alias("__n"))
+    own = docs.select(*[F.col(f"`{c}`") for c in columns], source_key(F.col("source")).alias("__key"), shuffled(seed).alias("__u"), count)
     own = own.where("__n > 0").join(sizes, "__key").withColumn("__bucket", bucket)
-    order = Window.partitionBy("__key", "__bucket").orderBy("__u", "text")
+    order = Window.partitionBy("__key", "__bucket").orderBy("__u", f"`{content}`")
     own = own.withColumn("__start", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
     start = F.col("__start")
     found = own.join(placed, ["__key", "__bucket"]).withColumn("__start", start + F.col("__from"))
-    pieces = found.withColumn("__b", F.explode(F.sequence(F.floor(start / block), F.floor((start + F.col("__n") - 1) / block))))
+    lead, name = F.pmod(start, F.lit(block)), F.col(f"`{content}`")
+    cut = found.withColumn("__pieces", cut_udf(docs.schema[content].dataType, block)(name, lead)).drop(content)
+    rest = [c for c in cut.columns if c != "__pieces"]
+    pieces = cut.select(*[F.col(f"`{c}`") for c in rest], F.posexplode("__pieces").alias("__nth", content)).withColumn("__b", F.floor(start / block) + F.col("__nth"))
     first = F.greatest(F.lit(0).cast("long"), F.col("__b") * block - start)
     last = F.least(F.col("__n"), (F.col("__b") + 1) * block - start)
     pieces = pieces.withColumns({"__first": first, "__len": last - first})
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.concat(
-        F.when(F.col("__first") == 0, F.regexp_extract("text", rf"^[{BLANK}]*", 0)).otherwise(""),
-        F.array_join(F.slice(words, (F.col("__first") + 1).cast("int"), F.col("__len").cast("int")), ""),
-    )
-    cut = F.when(F.col("__len") == F.col("__n"), F.col("text")).otherwise(part)
     offset = (F.col("__b") - F.col("__blocks")[0]["__block"] + 1).cast("int")
-    out = pieces.withColumns({"text": cut, "__t": F.element_at("__blocks", offset)["times"]}).drop("__blocks").withColumn("__t", F.explode("__t"))
+    out = pieces.withColumn("__t", F.element_at("__blocks", offset)["times"]).drop("__blocks").withColumn("__t", F.explode("__t"))
     return out.select(
         *[F.col(f"`{c}`") for c in columns],
         F.col("__t.slot").alias("slot"), F.col("__t.epoch").alias("epoch"), F.col("__b").alias("block"),
-        (start + F.col("__first") - F.col("__b") * block).alias("at"), F.col("__first").alias("first_word"), F.col("__len").alias("n_words"),
+        (start + F.col("__first") - F.col("__b") * block).alias("at"), F.col("__first").alias("first_token"), F.col("__len").alias("n_tokens"),
     )
 
 
@@ -176,7 +231,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def oracle(block: int = 2048, temperature: float = 0.8, seed: int = 0) -> str:
-    """``mix`` of documents with its defaults, as DuckDB SQL."""
+    """``mix`` of the texts of documents with its defaults, as DuckDB SQL."""
     blank = " \\t\\n\\x0B\\f\\r"
     return f"""
         with words as (
@@ -204,7 +259,7 @@ def oracle(block: int = 2048, temperature: float = 0.8, seed: int = 0) -> str:
             select *, greatest(0, block * {block} - start) as first_word,
                    least(n, (block + 1) * {block} - start) - greatest(0, block * {block} - start) as n_words from pieces)
         select c.doc_id, c.lang, c.source, c.n_chars, s.slot, (s.r // s.blocks)::bigint as epoch, c.block::bigint as block,
-               (c.start + c.first_word - c.block * {block})::bigint as at, c.first_word::bigint as first_word, c.n_words::bigint as n_words,
+               (c.start + c.first_word - c.block * {block})::bigint as at, c.first_word::bigint as first_token, c.n_words::bigint as n_tokens,
                case when c.n_words = c.n then c.text else
                     (case when c.first_word = 0 then regexp_extract(c.text, '^[{blank}]*') else '' end) ||
                     array_to_string(regexp_extract_all(c.text, '[^{blank}]+[{blank}]*')[c.first_word + 1 : c.first_word + c.n_words], '') end as text

@@ -1,8 +1,11 @@
+import hashlib
+import time
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
-from brindle.llm import mixing
+from brindle.llm import bpe, mixing, queries
 from tests.compare import same
 
 
@@ -10,6 +13,51 @@ def test_agrees_with_sql(spark, small, duck):
     same(mixing.mix(spark.read.parquet(f"{small}/documents.parquet")), duck, mixing.oracle())
 
 
+def cut_by_hand(rows, block):
+    """Of documents (doc_id, source, tokens): source, block, at, doc_id, first token and piece of all pieces, each source's documents in the order of their MD5."""
+    out, upto = set(), Counter()
+    for k, source, tokens in sorted(rows, key=lambda r: (hashlib.md5(f"0/{r[0]}".encode()).hexdigest(), r[2])):
+        for i, t in enumerate(tokens):
+            b, at = divmod(upto[source], block)
+            upto[source] += 1
+            if i == 0 or at == 0:
+                out.add((source, b, at, k, i))
+    return out, upto
+
+
+def test_registered_query_against_brute_force(spark, small):
+    """Every token of the first epochs is where counting by hand puts it; slots follow the points of the golden ratio."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    codec = bpe.Codec(bpe.load())
+    rows = [(r.doc_id, r.source, codec.encode(r.text)) for r in docs]
+    want, totals = cut_by_hand(rows, 2048)
+    got = queries.op4_source_mixing(spark, small).collect()
+    assert {(r.source, r.block, r.at, r.doc_id, r.first_token) for r in got if r.epoch == 0} == want
+    tokens = {k: t for k, _, t in rows}
+    assert all(r.tokens == tokens[r.doc_id][r.first_token : r.first_token + r.n_tokens] for r in got)
+    assert {s: sum(r.n_tokens for r in got if r.source == s and r.epoch == 0) for s in totals} == dict(totals)
+    plan = mixing.schedule_plan([("=" + s, n) for s, n in totals.items()], 2048, None, 0.8, None)
+    ranks = Counter()
+    slots = {}
+    for t in range(plan.slots):
+        point = ((t + 1) * mixing._GOLDEN) % 1
+        key, blocks = next((k, b) for k, _, b, end in plan.sources if point < end or k == plan.sources[-1][0])
+        slots[t] = (key[1:], ranks[key] % blocks, ranks[key] // blocks)
+        ranks[key] += 1
+    assert {r.slot: (r.source, r.block, r.epoch) for r in got} == slots
+
+
+def test_long_texts_are_cut_in_linear_time():
+    took = []
+    for n in (200_000, 1_600_000):
+        text, lead = pa.array(["word " * n]), pa.array([5])
+        began = time.process_time()
+        pieces = mixing.cut_udf(mixing.T.StringType(), 256).func(text, lead)
+        took.append(time.process_time() - began)
+        assert len(pieces) == 1 and len(pieces[0]) == (n + 5 - 1) // 256 + 1 and len(pieces[0][0].as_py()) == 5 * 251
+    assert took[1] < 40 * max(took[0], 0.01)
+
+
 def test_schedule_is_even_everywhere(spark):
     plan = mixing.Plan((("=a", 100, 10, 0.5), ("=b", 100, 10, 0.8), ("=c", 100, 10, 1.0)), 30_000, 10)
     rows = mixing.schedule(spark, plan).orderBy("slot").collect()
@@ -27,7 +75,7 @@ def test_pieces_of_the_first_epoch_join_to_the_texts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     whole = defaultdict(list)
     for r in mixing.mix(docs, block=100).where("epoch = 0").collect():
-        whole[r.doc_id].append((r.block, r.at, r.text, r.n_words))
+        whole[r.doc_id].append((r.block, r.at, r.text, r.n_tokens))
     for r in docs.collect():
         if r.text.strip():
             assert "".join(t for _, _, t, _ in sorted(whole[r.doc_id])) == r.text
@@ -43,7 +91,7 @@ def test_blocks_are_full_and_weights_are_met(spark, small):
     rows = mixing.mix(docs, weights={a: 3.0, b: 1.0}, block=50, slots=4000).collect()
     size, source = Counter(), {}
     for r in rows:
-        size[r.slot] += r.n_words
+        size[r.slot] += r.n_tokens
         source[r.slot] = r.source
     assert set(source.values()) == {a, b} and len(source) == 4000
     assert abs(Counter(source.values())[a] - 3000) < 20
@@ -63,7 +111,7 @@ def test_odd_rows(spark):
     for name in ("slot", "__key", "__n", "key", "times", "odd.name"):
         docs = docs.withColumn(name, docs.doc_id)
     out = mixing.mix(docs, block=1000).where("epoch = 0").collect()
-    got = Counter((r.doc_id, r.n_words) for r in out)
+    got = Counter((r.doc_id, r.n_tokens) for r in out)
     assert got[(4, 2)] == 2 and got[(None, 3)] == 1 and got[(5, 1000)] == 50
     assert out[0]["odd.name"] == out[0].doc_id and out[0]["__key"] == out[0].doc_id
     assert mixing.mixed_documents(docs, block=1000).columns == docs.columns
