@@ -42,7 +42,7 @@ BATCH = 1 << 21
 #: Grams in a range of grams, on average at most.
 LANE = 1 << 22
 #: Sets up to which a gram's label is the fingerprint of all of them.
-FEW = 32
+FEW = 4
 U64 = textbuf.U64
 
 

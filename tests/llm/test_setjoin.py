@@ -102,7 +102,7 @@ def crowd(spark):
     return out, spark.createDataFrame(out, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("hot, few", [(2, 32), (16, 2), (10**6, 32)])
+@pytest.mark.parametrize("hot, few", [(2, 32), (16, 2), (10**6, 4)])
 def test_crowds_whatever_is_hot(spark, monkeypatch, hot, few):
     for name, value in (("HOT_LEAST", hot), ("FEW", few), ("BATCH", 4000), ("BLOCK", 256 * 40)):
         monkeypatch.setattr(setjoin, name, value)
