@@ -208,14 +208,30 @@ def reduce_degree(page: DataFrame) -> DataFrame:
     return page.groupBy("dir", "node", "type").agg(F.count("*").alias("degree"))
 
 
+#: Neighbours up to which an anchor's pairs are looked up one by one.
+LIGHT = 12
+
+
 def reduce_triangles(page: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per anchor: distinct neighbours, the pairs of them that an edge closes, and the clustering coefficient."""
+    """Per anchor: distinct neighbours, the pairs of them that an edge closes, and the clustering coefficient.
+
+    Anchors of up to LIGHT neighbours have few pairs, which are looked up among the links: LIGHT / 2 rows an edge at most.  The others are so
+    few that a link is extended to those at one of its ends, the end that has fewer, and then looked up at the other.
+    """
     near = page.select("node", "peer").distinct()
-    n = near.groupBy("node").agg(F.count("*").alias("neighbors"))
+    near = near.join(near.groupBy("node").agg(F.count("*").alias("neighbors")), "node")
     linked = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct()
-    a, b = near.select("node", F.col("peer").alias("a")), near.select("node", F.col("peer").alias("b"))
-    # from closing edges outward: every linked pair meets the anchors of its two ends, so no wedge is built that isn't closed
-    closed = linked.join(a, "a").join(b, ["node", "b"]).groupBy("node").agg(F.count("*").alias("closed"))
+    own = near.where(f"neighbors between 2 and {LIGHT}").groupBy("node").agg(F.array_sort(F.collect_list("peer")).alias("peers"))
+    wedges = own.select("node", "peers", F.posexplode("peers").alias("at", "a")).select("node", "a", F.explode(F.slice("peers", F.col("at") + 2, LIGHT)).alias("b"))
+    few = wedges.join(linked, ["a", "b"]).select("node")
+    heavy = near.where(f"neighbors > {LIGHT}").select("node", "peer")
+    anchors = heavy.groupBy("peer").agg(F.count("*").alias("n"))
+    ends = linked.join(anchors.select(F.col("peer").alias("a"), F.col("n").alias("n_a")), "a").join(anchors.select(F.col("peer").alias("b"), F.col("n").alias("n_b")), "b")
+    fewer = F.col("n_a") <= F.col("n_b")
+    ends = ends.select(F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("peer"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    many = ends.join(heavy, "peer").select("node", F.col("other").alias("peer")).join(heavy, ["node", "peer"]).select("node")
+    closed = few.unionByName(many).groupBy("node").agg(F.count("*").alias("closed"))
+    n = near.select("node", "neighbors").distinct()
     whole = F.col("neighbors") * (F.col("neighbors") - 1) / 2
     return n.join(closed, "node", "left").select("node", "neighbors", F.coalesce("closed", F.lit(0)).alias("closed"), F.when(whole > 0, F.coalesce("closed", F.lit(0)) / whole).otherwise(0.0).alias("coefficient"))
 

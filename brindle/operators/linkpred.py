@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import clamp01
-from ..plans.lineage import in_ranges
+from ..plans.lineage import cut, in_ranges, numbered
 
 TYPING = "generalizations"
 
@@ -80,15 +80,22 @@ def candidates(held: DataFrame, train: DataFrame, negatives: int = 1, seed: int
     Attempt k of an edge takes the target whose number in the relation's pool is a hash of edge and k; the first ``negatives`` that are
     neither the true target nor known count.
     """
-    pool = train.select("relation", "dst").distinct().groupBy("relation", "dst").count().drop("count")
-    pool = pool.withColumn("n", F.row_number().over(Window.partitionBy("relation").orderBy("dst")) - 1)
+    pool = numbered(train.select("relation", "dst").distinct(), "relation", "dst", "n")
     sizes = pool.groupBy("relation").agg(F.count("*").alias("size"))
-    tries = held.join(sizes, "relation").select("relation", "src", F.col("dst").alias("actual"), "size", F.explode(F.sequence(F.lit(1), F.lit(attempts * negatives))).alias("k"))
-    number = F.pmod(F.conv(F.substring(_dice(seed, "relation", "src", "actual", "k"), 1, 12), 16, 10).cast("long"), F.col("size"))
-    tries = tries.withColumn("n", number).join(pool, ["relation", "n"]).where("dst <> actual")
-    fresh = tries.join(train.select("relation", "src", "dst").distinct(), ["relation", "src", "dst"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("relation", "src", "actual").orderBy("k"))
-    picked = fresh.groupBy("relation", "src", "actual", "dst").agg(F.min("k").alias("k")).withColumn("__r", first).where(F.col("__r") <= negatives)
+    known, edge = train.select("relation", "src", "dst").distinct(), ["relation", "src", "actual"]
+    todo = cut(held.join(sizes, "relation").select("relation", "src", F.col("dst").alias("actual"), "size").distinct())
+    number = F.pmod(F.conv(F.substring(_dice(seed, *edge, "k"), 1, 12), 16, 10).cast("long"), F.col("size"))
+    found, done, step = None, 0, negatives
+    while done < attempts * negatives:  # most edges need the first attempts only
+        upto = min(attempts * negatives, done + step)
+        tries = todo.withColumn("k", F.explode(F.sequence(F.lit(done + 1), F.lit(upto)))).withColumn("n", number)
+        fresh = tries.join(pool, ["relation", "n"]).where("dst <> actual").join(known, ["relation", "src", "dst"], "left_anti").select(*edge, "dst", "k")
+        found = cut((fresh if found is None else found.unionByName(fresh)).groupBy(*edge, "dst").agg(F.min("k").alias("k")))
+        enough = found.groupBy(*edge).agg(F.count("*").alias("n")).where(F.col("n") >= negatives)
+        todo, done, step = cut(todo.join(enough, edge, "left_anti")), upto, 4 * step
+        if todo.isEmpty():
+            break
+    picked = held.select("relation", "src", "dst").where(F.lit(False)) if found is None else found.withColumn("__r", F.row_number().over(Window.partitionBy(*edge).orderBy("k"))).where(F.col("__r") <= negatives)
     return held.select("relation", "src", "dst", F.lit(1).alias("label")).unionByName(picked.select("relation", "src", "dst", F.lit(0).alias("label")))
 
 

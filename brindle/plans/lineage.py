@@ -5,15 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once under spark.checkpoint.dir (a folder of the session's own only where that is unset)."""
+    """The rows of df, written once under spark.checkpoint.dir; where that is unset, in a folder of the session's own if all runs on this machine."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/cut-{uuid.uuid4().hex}"
@@ -21,6 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """The rows with their number (from 0) in the order of their group: ranges of both are numbered by themselves, only their totals meet."""
+    own = in_ranges(df, F.struct(group, order))
+    counts = own.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    before = counts.select(group, "__part", (F.sum("__n").over(Window.partitionBy(group).orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order)) - 1
+    return own.withColumn("__i", inside).join(before, [group, "__part"]).withColumn(name, F.col("__i") + F.col("__before")).drop("__part", "__i", "__before")
+
+
 def in_ranges(df: DataFrame, order: str | Column) -> DataFrame:
     """The rows with ``__part``, the number of the range of ``order`` that they lie in; written, as the ranges come from a sample that another run would draw anew."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -247,12 +247,11 @@ def cache_aging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "cache_observe",
-    f"""with {_LINKED}, seen as (select l_suppkey::varchar as src, l_partkey::varchar as dst, max(l_discount * 8) as score, min(l_linenumber) as distance, count(*) as n from lineitem where l_partkey % 2 = 0 and l_suppkey <> l_partkey group by all)
+    f"""with {_LINKED}, seen as (select l_suppkey::varchar as src, l_partkey::varchar as dst, max(l_discount * 8) as score, min(l_linenumber) as distance, count(*) as n from lineitem where l_suppkey <> l_partkey group by all)
         select m.src, m.dst, greatest(m.score, least(1.0::double, coalesce(s.score, 0))) as score, least(m.distance, coalesce(s.distance, m.distance))::bigint as distance, observations + coalesce(n, 0) as observations from mem as m left join seen as s on s.src = m.src and s.dst = m.dst""",
 )
 def cache_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey % 2 = 0")
-    seen = lines.select(F.col("l_suppkey").cast("string").alias("src"), F.col("l_partkey").cast("string").alias("dst"), (F.col("l_discount") * 8).alias("score"), F.col("l_linenumber").cast("long").alias("distance"), F.lit(1).cast("long").alias("sources"))
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("src"), F.col("l_partkey").cast("string").alias("dst"), (F.col("l_discount") * 8).alias("score"), F.col("l_linenumber").cast("long").alias("distance"), F.lit(1).cast("long").alias("sources"))
     return memo.observe_links(_links(spark, sf_dir), seen, 40000.0).select("src", "dst", "score", "distance", "observations")
 
 

@@ -578,7 +578,16 @@ def _inherit(db: Database, a: dict, items: list[dict]) -> dict:
 
 
 COMMANDS["PREDICT_INHERIT"] = lambda db, a: _inherit(db, a, [a])
-COMMANDS["PREDICT_INHERIT_BATCH"] = lambda db, a: _inherit(db, a, (json.loads(a["items"]) if isinstance(a["items"], str) else a["items"])[:BATCH_MOST])
+
+
+@command("PREDICT_INHERIT_BATCH")
+def _inherit_batch(db: Database, a: dict) -> dict:
+    items = json.loads(a["items"]) if isinstance(a["items"], str) else a["items"]
+    if len(items) > BATCH_MOST:
+        raise ValueError("too_many_items")
+    return _inherit(db, a, items)
+
+
 COMMANDS["PREDICT_BACKEND"] = lambda db, a: {"backend": "spark"}
 
 
@@ -651,6 +660,14 @@ def _alias(db: Database, a: dict) -> dict:
     return {"commands": sorted(COMMANDS), "aliases": dict(sorted(ALIASES.items()))}
 
 
+def _whole(answer: DataFrame) -> list[dict]:
+    """All rows of an answer, which must be no more than a page: an item that wants more is to be asked by itself, by cursor."""
+    rows = answer.limit(scan.PAGE_MOST + 1).collect()
+    if len(rows) > scan.PAGE_MOST:
+        raise ValueError("answer_too_large")
+    return [r.asDict(recursive=True) for r in rows]
+
+
 @command("BATCH")
 def _batch(db: Database, a: dict) -> dict:
     """A command for each item in order; stops at the first failure unless told to go on.  Edges are written as one."""
@@ -660,6 +677,7 @@ def _batch(db: Database, a: dict) -> dict:
         raise ValueError("batch_target_not_allowed")
     if len(items) > BATCH_MOST:
         raise ValueError("too_many_items")
+    spelt = ALIASES.get(target, target)  # "COMMAND" or "COMMAND word…"
     shared = {k: v for k, v in a.items() if isinstance(k, str) and k not in ("items", "command", "target", "continue_on_error", "results", "async")}
     goes_on = flag(a.get("continue_on_error", 0))
     if target == "GRAPH_EDGE_SET" and all(isinstance(x, dict) and x.get("from", shared.get("from")) and x.get("to", shared.get("to")) for x in items):
@@ -668,10 +686,11 @@ def _batch(db: Database, a: dict) -> dict:
     for i, x in enumerate(items):
         try:
             if isinstance(x, dict):
-                answer = COMMANDS[target](db, {**shared, **x})
+                name, fixed = parse(spelt)
+                answer = COMMANDS[name](db, {**fixed, **shared, **x})
             else:
                 answer = db.execute(f"{target} " + (" ".join(map(str, x)) if isinstance(x, list) else str(x)))
-            out["results"][i] = answer if isinstance(answer, dict) else [r.asDict(recursive=True) for r in answer.limit(scan.PAGE_MOST).collect()]
+            out["results"][i] = answer if isinstance(answer, dict) else _whole(answer)
             out["applied"] += 1
         except (ValueError, KeyError) as e:
             out["failed"] += 1
