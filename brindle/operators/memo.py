@@ -23,11 +23,24 @@ def signature(
     origins: Iterable[str], *, precision: float, hops: int, direction: str, min_sources: int, decay: float, branch: int, cache_factor: float = 1.0, profile: str = "-", types: Iterable[str] = ()
 ) -> str:
     """32 hex digits for a comparison: the same for the same set of origins and the same parameters that decide the answer."""
-    names = sorted(types)
-    told = f"|p={precision:.4f}|h={hops}|d={direction}|m={min_sources}|k={decay:.4f}|cd={cache_factor:.2f}|rd={profile}|b={branch}" + ("|t=" + ",".join(names) if names else "")
+    told = _told(precision, hops, direction, min_sources, decay, branch, cache_factor, profile, types)
     return hashlib.sha256(("".join(o + "\0" for o in sorted(origins)) + told).encode()).hexdigest()[:32]
 
 
+def _told(precision: float, hops: int, direction: str, min_sources: int, decay: float, branch: int, cache_factor: float, profile: str, types: Iterable[str]) -> str:
+    names = sorted(types)
+    return f"|p={precision:.4f}|h={hops}|d={direction}|m={min_sources}|k={decay:.4f}|cd={cache_factor:.2f}|rd={profile}|b={branch}" + ("|t=" + ",".join(names) if names else "")
+
+
+def signatures(
+    asked: DataFrame, *, precision: float, hops: int, direction: str, min_sources: int, decay: float, branch: int, cache_factor: float = 1.0, profile: str = "-", types: Iterable[str] = ()
+) -> DataFrame:
+    """query and signature of many comparisons (query, origin) at once; a query has at most as many origins as a recall has seeds."""
+    told = _told(precision, hops, direction, min_sources, decay, branch, cache_factor, profile, types)
+    origins = F.array_join(F.transform(F.array_sort(F.collect_set("origin")), lambda o: F.concat(o, F.lit("\0"))), "")
+    return asked.groupBy("query").agg(F.substring(F.sha2(F.concat(origins, F.lit(told)), 256), 1, 32).alias("signature"))
+
+
 def query_class(*, hops: int, min_sources: int, direction: str, seeds: int, typed: bool) -> int:
     """One of 64 shapes of recall."""
     some = 0 if seeds <= 1 else 1 if seeds <= 3 else 2 if seeds <= 8 else 3
@@ -35,6 +48,28 @@ def query_class(*, hops: int, min_sources: int, direction: str, seeds: int, type
     return (shape ^ some << 1 ^ int(typed) << 5) % 64
 
 
+def query_class_column(*, hops: Column, min_sources: Column, direction: Column, seeds: Column, typed: Column) -> Column:
+    """query_class of columns."""
+    some = F.when(seeds <= 1, 0).when(seeds <= 3, 1).when(seeds <= 8, 2).otherwise(3)
+    way = F.when(direction == "out", 1).when(direction == "in", 2).otherwise(0)
+    shape = F.shiftleft(hops.cast("int").bitwiseAND(7), 4).bitwiseOR(F.shiftleft(F.least(min_sources.cast("int"), F.lit(3)).bitwiseAND(3), 2)).bitwiseOR(way)
+    return F.pmod(shape.bitwiseXOR(F.shiftleft(some, 1)).bitwiseXOR(F.shiftleft(typed.cast("int"), 5)), F.lit(64))
+
+
+def class_factors(classes: DataFrame) -> DataFrame:
+    """Classes (lookups, hits, writes, bias) with their decay factor, and the state that retuning leaves: ClassStats of a whole table."""
+    rate, enough = F.col("hits") / F.col("lookups") / TARGET_RATE, F.col("lookups") >= SAMPLES
+    within = lambda c, low, high: F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    bias = F.when(enough, 0.7 * F.col("bias") + 0.3 * within(rate, LEAST_BIAS, MOST_BIAS)).otherwise(F.col("bias"))
+    factor = F.when(bias < 1, 1 - (1 - bias) / (1 - LEAST_BIAS) * (1 - LEAST_DECAY)).otherwise(1 + (bias - 1) / (MOST_BIAS - 1) * (MOST_DECAY - 1))
+    half = lambda c: F.when(enough, F.floor(F.col(c) / 2)).otherwise(F.col(c)).cast("long")
+    return classes.withColumns({
+        "factor": F.floor(within(factor, LEAST_DECAY, MOST_DECAY) / QUANTUM + 0.5) * QUANTUM,
+        "new_bias": F.when(enough, within(0.7 * F.col("bias") + 0.3 * rate, LEAST_BIAS, MOST_BIAS)).otherwise(F.col("bias")),
+        "new_lookups": half("lookups"), "new_hits": half("hits"), "new_writes": half("writes"),
+    })
+
+
 @dataclass
 class ClassStats:
     """What a shape of recall has learned: its bias follows the rate of hits, and old counts fade by halves."""

@@ -47,6 +47,11 @@ def fetch_page(pairs: DataFrame, prefix: str = "*", **options) -> Page:
     return Page(rows[:size], rows[size - 1]["name"] if more else None)
 
 
+def scan_json(pairs: DataFrame, values: DataFrame, prefix: str = "*", *, include_hidden: bool = False) -> DataFrame:
+    """All names under a prefix, not a page, with their payloads read as JSON objects of strings; null where a payload is none."""
+    return scan(pairs, prefix, limit=-1, include_hidden=include_hidden).join(values, "key").select("name", "key", F.from_json(F.col("payload").cast("string"), "map<string,string>").alias("fields"))
+
+
 def summary(pairs: DataFrame, sizes: DataFrame, prefix: str, *, include_hidden: bool = False) -> DataFrame:
     """One row of totals of a namespace: count, payload bytes, least and greatest name, depth in bytes below the prefix.
 

@@ -37,6 +37,14 @@ def with_position(df: DataFrame, order: str, name: str) -> DataFrame:
     return ranged.withColumn("__n", inside).join(F.broadcast(before), "__part").withColumn(name, F.col("__n") + F.coalesce("__before", F.lit(0))).drop("__part", "__n", "__before")
 
 
+def upsert_payloads(pairs: DataFrame, values: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names bound to new payloads (seq, name, payload, hidden): the pairs after the writes, and the new values with their seq.  Every payload gets a key of its own, in order of seq."""
+    top = values.agg(F.coalesce(F.max("key"), F.lit(0)).alias("top"))
+    new = with_position(writes, "seq", "n").crossJoin(F.broadcast(top)).select("seq", (F.col("top") + F.col("n")).alias("key"), "name", "payload", "hidden", "n")  # one row
+    log = pairs.select("name", "key", "hidden", F.lit(0).cast("long").alias("seq")).unionByName(new.select("name", "key", "hidden", F.col("n").cast("long").alias("seq")))
+    return upsert_pairs(log), new.select("seq", "key", "payload")
+
+
 def edit(values: DataFrame, edits: DataFrame) -> DataFrame:
     """Values with each key's last edit (key, seq, payload); edits of keys that aren't there do nothing."""
     last = edits.groupBy("key").agg(F.max_by("payload", "seq").alias("new"))

@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once under spark.checkpoint.dir; where that is unset, in a folder of the session's own if all runs on this machine."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of the session's own if all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written once in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

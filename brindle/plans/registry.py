@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, predict_queries, recall_queries, store_queries  # noqa: F401
+from . import admin_queries, graph_queries, predict_queries, recall_queries, store_queries  # noqa: F401
 from .inputs import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

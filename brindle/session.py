@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import graph, memo, pattern, placement, predict, recall, records, scan, store, terms
+from .plans.lineage import cut
 from .sources.snapshots import Folder, export_fork, settings_text
 
 BATCH_MOST, PAGE = 10_000, 1000
@@ -216,12 +217,12 @@ def _pair_put_batch(db: Database, a: dict) -> dict:
     rows = db.rows("idx long, name string, payload string", *[(i, x.get("k"), x.get("v")) for i, x in enumerate(items)])
     with db.lock:
         good = store.put_batch(rows, continue_on_error=flag(a.get("continue_on_error", 0))).where("applied")
-        new, _ = store.insert(_values(db), good.select(F.col("idx").alias("seq"), "payload"))
-        placed = store.with_position(good, "idx", "n").select("n", "name").collect()
-        keys = [r["key"] for r in new.orderBy("key").collect()]
-        db.replace("values", _values(db).unionByName(new))
-        fresh = db.rows("name string, key long, hidden boolean, seq long", *[(r["name"], keys[r["n"] - 1], flag(a.get("hidden", 0)), r["n"]) for r in placed])
-        db.replace("pairs", store.upsert_pairs(db.table("pairs").withColumn("seq", F.lit(0).cast("long")).unionByName(fresh)))
+        good = good.where(F.octet_length("payload") > 0).select(F.col("idx").alias("seq"), "name", "payload", F.lit(flag(a.get("hidden", 0))).alias("hidden"))
+        named, new = store.upsert_payloads(db.table("pairs"), _values(db), good)
+        keys = [r["key"] for r in new.orderBy("seq").collect()]  # at most BATCH_MOST rows
+        named, both = cut(named), cut(_values(db).unionByName(new.select("key", "payload")))
+        db.replace("values", both)
+        db.replace("pairs", named)
     return {"applied": len(keys), "failed": len(items) - len(keys), "keys": keys}
 
 

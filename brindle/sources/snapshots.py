@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,10 @@ SCHEMAS = {
 }
 
 
+#: Seconds for which a snapshot stays after another has taken its place.
+RETENTION = 3600.0
+
+
 class Folder:
     """A folder of tables on any file system that Spark reads.  A write makes a new snapshot; the pointer moves when the snapshot is whole."""
 
@@ -68,12 +73,17 @@ class Folder:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{current}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Writes a snapshot and makes it the current one; the one before is removed, so that only readers of the new remain."""
+        """Writes a snapshot and makes it the current one.  Earlier ones stay for ``RETENTION`` seconds, so that what reads them can end."""
         old, new = self.load(f"{name}.current"), uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/{name}/{new}")
         self.save(f"{name}.current", new)
-        if old:
-            self.drop(f"{name}/{old}")
+        now, left = time.time(), []
+        for at, version in json.loads(self.load(f"{name}.earlier") or "[]") + ([[now, old]] if old else []):
+            if now - at < RETENTION:
+                left.append([at, version])
+            else:
+                self.drop(f"{name}/{version}")
+        self.save(f"{name}.earlier", json.dumps(left))
 
 
 def export_fork(pairs: DataFrame, values: DataFrame, pred: DataFrame, prefix: str, path: str) -> None:
