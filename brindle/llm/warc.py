@@ -8,12 +8,17 @@ the response they came with and are read once more when the archive is written.
 from __future__ import annotations
 
 import gzip
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from typing import BinaryIO
+from urllib.parse import unquote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,22 +151,88 @@ def write(fresh: DataFrame, folder: str) -> DataFrame:
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
-
-
-def parse(raw: bytes) -> Iterator[dict[str, str | None]]:
-    """Records of a WARC file, gzipped by member or not; the payload is what follows the HTTP header of a response."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while (at := raw.find(b"WARC/1.", at)) >= 0:
-        stop = raw.find(b"\r\n\r\n", at)
-        if stop < 0:
-            return
-        fields = {k.lower().decode(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(raw[at:stop])}
-        size = int(fields.get("content-length", 0))
-        body = raw[stop + 4 : stop + 4 + size]
-        kind = fields.get("warc-type")
-        payload = body.partition(b"\r\n\r\n")[2] if kind == "response" else None
+#: Bytes read at once; bytes in which a record's header must end; and of a record's block, beyond which it is passed over.
+READ, HEAD, MOST = 1 << 20, 1 << 16, 1 << 30
+
+
+class Unpacked:
+    """A WARC file, gzipped by member or not, as bytes to be taken in order; what is damaged or cut off ends it."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        self.file, self.held, self.ended = file, bytearray(), False
+        first = file.read(READ)
+        self.gzip = zlib.decompressobj(31) if first[:2] == b"\x1f\x8b" else None
+        self._take(first)
+
+    def _take(self, raw: bytes) -> None:
+        if not raw:
+            self.ended = True
+        elif self.gzip is None:
+            self.held += raw
+        else:
+            try:
+                while raw:
+                    self.held += self.gzip.decompress(raw)
+                    raw = self.gzip.unused_data
+                    if self.gzip.eof:
+                        self.gzip = zlib.decompressobj(31)
+            except zlib.error:
+                self.ended = True
+
+    def fill(self, n: int) -> bool:
+        """Are n bytes there?"""
+        while len(self.held) < n and not self.ended:
+            self._take(self.file.read(READ))
+        return len(self.held) >= n
+
+    def drop(self, n: int) -> None:
+        """Passes over n bytes, however many."""
+        while n > len(self.held) and not self.ended:
+            n -= len(self.held)
+            self.held.clear()
+            self._take(self.file.read(READ))
+        del self.held[:n]
+
+    def find(self, what: bytes, within: int) -> int:
+        at = self.held.find(what)
+        while at < 0 and len(self.held) < within and not self.ended:
+            seen = max(0, len(self.held) - len(what))
+            self._take(self.file.read(READ))
+            at = self.held.find(what, seen)
+        return at
+
+
+def parse(file: BinaryIO | bytes) -> Iterator[dict[str, str | None]]:
+    """Records of a WARC file, one at a time; the payload is what follows the HTTP header of a response.
+
+    A record without a length, or cut off, is left out; so is the payload of one of over a GB.
+    """
+    own = Unpacked(io.BytesIO(file) if isinstance(file, bytes) else file)
+    while True:
+        at = own.find(b"WARC/1.", READ)
+        if at < 0:
+            if own.ended:
+                return
+            own.drop(max(1, len(own.held) - 6))
+            continue
+        own.drop(at)
+        stop = own.find(b"\r\n\r\n", HEAD)
+        fields = {} if stop < 0 else {k.lower().decode(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(bytes(own.held[:stop]))}
+        length = fields.get("content-length", "").strip()
+        if not (length.isascii() and length.isdigit()):
+            own.drop(7)  # to the next that begins like a record
+            if stop < 0 and own.ended:
+                return
+            continue
+        own.drop(stop + 4)
+        size, kind = int(length), fields.get("warc-type")
+        body = None
+        if size <= MOST:
+            if not own.fill(size):
+                return
+            body = bytes(own.held[:size])
+        own.drop(size)
+        payload = body.partition(b"\r\n\r\n")[2] if kind == "response" and body is not None else None
         yield {
             "record_id": fields.get("warc-record-id", "").strip("<>") or None,
             "warc_type": kind,
@@ -171,23 +242,31 @@ def parse(raw: bytes) -> Iterator[dict[str, str | None]]:
             "refers_to": fields.get("warc-refers-to", "").strip("<>") or None,
             "payload": None if payload is None else payload.decode("utf-8", "replace"),
         }
-        at = stop + 4 + size
 
 
 RECORD = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, refers_to string, payload string"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files of a path."""
+    """Records of all WARC files of a path, which are read as streams: a file may be of any size, only a record is held at once."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RECORD.split(", ")]
         for b in batches:
-            for raw in b.column(0):
-                rows = list(parse(raw.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.string()) for n in names], names=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, RECORD)
+            for name in b.column(0).to_pylist():
+                system, where = fs.FileSystem.from_uri(unquote(name))
+                rows, size = [], 0
+                with system.open_input_stream(where, compression=None) as file:
+                    for r in parse(file):
+                        rows.append(r)
+                        size += len(r["payload"] or "") + 500
+                        if size > 8 * READ:
+                            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], pa.string()) for n in names], names=names)
+                            rows, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], pa.string()) for n in names], names=names)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(records, RECORD)
 
 
 def oracle() -> str:

@@ -1,3 +1,7 @@
+import gzip
+
+import pytest
+
 from brindle.llm import warc
 from tests.compare import same
 
@@ -48,3 +52,25 @@ def test_odd_rows(spark):
     head, _, body = got["h"].record.partition("\r\n\r\n")
     assert f"Content-Length: {len(body.encode()) - 4}" in head
     assert warc.resolve(df.limit(0)).count() == 0
+
+
+def record(k, body, length=None):
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r{k}>\r\nContent-Length: {len(http) if length is None else length}\r\n\r\n".encode() + http + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("step", [64, 1 << 20])
+def test_damaged_files_give_what_is_whole(monkeypatch, step):
+    monkeypatch.setattr(warc, "READ", step)
+    bodies = [b"x" * n for n in (0, 1, 700, 70_000)]
+    whole = [record(k, b) for k, b in enumerate(bodies)]
+    said = lambda raw: [(r["record_id"], len(r["payload"])) for r in warc.parse(raw)]
+    every = [(f"r{k}", len(b)) for k, b in enumerate(bodies)]
+    assert said(b"".join(whole)) == every
+    packed = b"".join(gzip.compress(r) for r in whole)
+    assert said(packed) == every and said(gzip.compress(b"".join(whole))) == every
+    assert said(packed[:-20]) == every[:-1] and said(b"".join(whole)[:-5000]) == every[:-1] and said(b"") == [] and said(b"junk" * 50) == []
+    assert said(whole[0] + record(9, b"odd", "many") + whole[1]) == [every[0], every[1]]
+    assert said(b"junk" * 100 + whole[2] + b"more junk" + whole[3]) == every[2:]
+    monkeypatch.setattr(warc, "MOST", 1000)
+    assert [r["payload"] is None for r in warc.parse(b"".join(whole))] == [False, False, False, True]
