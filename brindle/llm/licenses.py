@@ -8,6 +8,7 @@ notice with at most k errors, best match first, and reports its span and edits.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -75,6 +76,7 @@ class Scanner:
         for i, notice in enumerate(found):
             for offset, part in notice.parts():
                 seeds[part].append((i, offset))
+        self.longest = max(len(n.text) + n.edits for n in found)
         self.automaton = ahocorasick.Automaton()
         for part, where in seeds.items():
             self.automaton.add_word(part, (len(part), where))
@@ -119,12 +121,20 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, int, int, int, str]]:
         low = lowered(text)
         kept: list[tuple[int, int, int, int]] = []
+        taken: dict[str, list[tuple[int, int]]] = defaultdict(list)  # of each notice, in order and apart
         for r in sorted(self.matches(low), key=lambda r: (r[3], r[1] - r[2], r[1])):
-            name = self.notices[r[0]].name
-            if not any(self.notices[o[0]].name == name and o[1] < r[2] and r[1] < o[2] for o in kept):
+            own = taken[self.notices[r[0]].name]
+            at = bisect_left(own, (r[1], r[2]))
+            if (at == 0 or own[at - 1][1] <= r[1]) and (at == len(own) or r[2] <= own[at][0]):
+                own.insert(at, (r[1], r[2]))
                 kept.append(r)
-        whole = [o for o in kept if VERSION.findall(self.notices[o[0]].text) == VERSION.findall(low[o[1] : o[2]])]
-        out = [(self.notices[i].name, a, b, edits, text[a:b]) for i, a, b, edits in kept if not any(better(o, (i, a, b, edits)) for o in whole)]
+        whole = sorted((o for o in kept if VERSION.findall(self.notices[o[0]].text) == VERSION.findall(low[o[1] : o[2]])), key=lambda o: o[1])
+        begins = [o[1] for o in whole]
+        out = []
+        for r in kept:
+            near = whole[bisect_left(begins, r[1] - self.longest) : bisect_left(begins, r[2])]  # what starts further ahead is over before r begins
+            if not any(better(o, r) for o in near):
+                out.append((self.notices[r[0]].name, r[1], r[2], r[3], text[r[1] : r[2]]))
         return sorted(out, key=lambda r: (r[1], r[2], r[0]))
 
 

@@ -208,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options)
 
     The sample is the labels of least hash of doc_id, whatever the size of the tables; that bound keeps
     what is sent to the driver (11 numbers a row) fixed.  Labels or documents with a null doc_id, null
-    quality or null text aren't learned from; where a doc_id has several labels the lowest counts.
-    No usable label, or one class only: no rules.
+    quality or null text aren't learned from; where a doc_id has several labels the lowest counts, where it has several rows the
+    text that is least by statistics.  No usable label, or one class only: no rules.
     """
     chosen = (
         labels.where("doc_id is not null and quality is not null")
@@ -223,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options)
         .select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
         .select("doc_id", "quality", text_statistics("text").alias("s"))
+        .groupBy("doc_id", "quality").agg(F.min("s").alias("s"))  # a row an id, however often it is there
         .select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", "s.*")
         .toPandas()
         .sort_values(["h", "doc_id", *STATS], kind="stable")
