@@ -27,7 +27,7 @@ from . import textbuf
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRETOKEN = regex.compile(PATTERN)
-#: Pre-tokens that a worker remembers: slots by hash, and token ids of all slots before they are emptied.
+#: Pre-tokens that a worker remembers: slots by hash, two for each, and token ids of all slots before they are emptied.
 SLOT_BITS, POOL = 20, 1 << 22
 _M64 = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
@@ -217,6 +217,9 @@ class Codec:
         """Token ids of all pre-tokens, and how many each has."""
         slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         known = self.hashes[slot] == hashes
+        second = np.flatnonzero(~known)
+        slot[second] ^= 1
+        known[second] = self.hashes[slot[second]] == hashes[second]
         at, n = self.at[slot], self.n[slot]
         miss = np.flatnonzero(~known)
         pool = self.pool
@@ -236,6 +239,7 @@ class Codec:
                 self.pool[self.filled : self.filled + len(ids)] = ids
                 self.filled += len(ids)
                 to = slot[miss[first]]
+                to ^= (self.hashes[to] != 0) & ((self.hashes[to ^ 1] == 0) | (own & np.uint64(1) == 0))  # an empty one, or either
                 self.hashes[to], self.at[to], self.n[to] = own, begin, sizes
             at, n = at.astype(np.int64), n.astype(np.int64)
             at[miss], n[miss] = begin[which], sizes[which]
@@ -244,9 +248,9 @@ class Codec:
 
     def encode_rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token ids of all texts, how many each has, and whether decoding them gives the text back."""
-        values, counts, exact = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+        counts, exact = np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
         data, offsets = textbuf.buffers(texts)
-        i = 0
+        values, total, i = np.empty(len(data), np.int32), 0, 0  # a token has a byte at least; what isn't touched takes no memory
         while i < len(texts):
             j = min(max(int(np.searchsorted(offsets, offsets[i] + textbuf.CHUNK, side="right")) - 1, i + 1), len(texts))
             part, row_byte = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -258,15 +262,17 @@ class Codec:
                 upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, row_byte)]
                 if self._same(ids, upto, part, row_byte):
                     counts[i:j] = np.diff(upto)
-                    values.append(ids)
                 else:
+                    ids = []
                     for r in range(i, j):
                         raw = data[offsets[r] : offsets[r + 1]].tobytes()
                         own = self.encode(raw.decode())
                         counts[r], exact[r] = len(own), self.decode_bytes(own) == raw
-                        values.append(np.array(own, np.int32))
+                        ids += own
+                values[total : total + len(ids)] = ids
+                total += len(ids)
             i = j
-        return np.concatenate(values), counts, exact
+        return values[:total], counts, exact
 
     def _same(self, ids: np.ndarray, upto: np.ndarray, data: np.ndarray, row_byte: np.ndarray) -> bool:
         """Are the tokens' bytes those of each row?"""
@@ -310,6 +316,21 @@ def share(spark: SparkSession, path: str = VOCABULARY):
 ENCODED = "struct<tokens: array<int>, exact: boolean>"
 
 
+def packed_udf(shared):
+    """Tokens of a text as bytes, four each, little-endian; null of null."""
+
+    @F.arrow_udf("binary")
+    def encode(text: pa.Array) -> pa.Array:
+        values, counts, _ = _codec(shared).encode_rows(text)
+        offsets = np.zeros(len(text) + 1, np.int32)
+        np.cumsum(4 * counts, out=offsets[1:])
+        out = pa.Array.from_buffers(pa.binary(), len(text), [text.is_valid().buffers()[1], pa.py_buffer(offsets), pa.py_buffer(values.astype("<i4", copy=False))])
+        textbuf.release()
+        return out
+
+    return encode
+
+
 def encode_udf(shared):
     """Tokens of a text, and whether decoding them gives the text back; null of null."""
 
@@ -347,6 +368,11 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, keep: tuple[str, ..
     return found.select("doc_id", *also, "e.tokens", F.when(F.col("e").isNotNull(), F.size("e.tokens")).alias("n_tokens"), "e.exact")
 
 
+def encode_packed(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id and tokens of every row of docs, as ``encode`` has them, in bytes for files: four each, little-endian."""
+    return docs.select("doc_id", packed_udf(share(docs.sparkSession, vocabulary))("text").alias("tokens"))
+
+
 def decode(encoded: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows of ``encode`` with their text."""
     return encoded.withColumn("text", decode_udf(share(encoded.sparkSession, vocabulary))("tokens"))

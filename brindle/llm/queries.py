@@ -19,7 +19,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids, encoded once: sections() reads its rows twice, for the ranges and for the shards."""
-    encoded = bpe.encode(table(spark, sf_dir, "documents")).select("doc_id", "tokens")
+    encoded = bpe.encode_packed(table(spark, sf_dir, "documents"))
     return sstable.sections(written(encoded, "encoded"), value="tokens")
 
 

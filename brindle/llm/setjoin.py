@@ -36,11 +36,13 @@ from .common import discard, own_names, partitions, small_side, written
 
 #: Grams (rows times the size of their band, 256 at least) in a block of a tile.
 BLOCK = 1 << 19
+#: Sets of a block whose pairs are verified together.
+SHARE = 256
 #: A gram is hot if, among the sets of a batch of ``BATCH`` grams, one in HOT_SHARE has it, and HOT_LEAST at least; of hot grams the HOT_MOST in most sets are kept apart.
 HOT_SHARE, HOT_LEAST, HOT_MOST = 512, 16, 1 << 17
-BATCH = 1 << 21
+BATCH = 1 << 19
 #: Grams in a range of grams, on average at most.
-LANE = 1 << 22
+LANE = 1 << 20
 #: Sets up to which a gram's label is the fingerprint of all of them.
 FEW = 4
 U64 = textbuf.U64
@@ -57,15 +59,16 @@ def band_bits(band: int, threshold: float) -> int:
 
 def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct grams of every text that has a word."""
-    for w in textbuf.chunks(pc.utf8_lower(texts), textbuf.PUNCT):
-        grams, row = textbuf.shingles(w, n)
-        at = np.searchsorted(row, np.arange(w.rows + 1))
-        for r in range(w.rows):
-            if at[r] < at[r + 1]:
-                own = np.sort(grams[at[r] : at[r + 1]])
-                new = np.ones(len(own), bool)
-                np.not_equal(own[1:], own[:-1], out=new[1:])
-                yield w.first + r, own[new]
+    for s in range(0, len(texts), 256):
+        for w in textbuf.chunks(pc.utf8_lower(texts.slice(s, 256)), textbuf.PUNCT):
+            grams, row = textbuf.shingles(w, n)
+            at = np.searchsorted(row, np.arange(w.rows + 1))
+            for r in range(w.rows):
+                if at[r] < at[r + 1]:
+                    own = np.sort(grams[at[r] : at[r + 1]])
+                    new = np.ones(len(own), bool)
+                    np.not_equal(own[1:], own[:-1], out=new[1:])
+                    yield s + w.first + r, own[new]
 
 
 def fingerprint(grams: np.ndarray) -> tuple[int, int]:
@@ -130,7 +133,7 @@ def signature_udf(n: int):
             if f not in held:
                 held[f] = grams
                 total += len(grams)
-            if total >= BATCH // 2:
+            if total >= BATCH:
                 hot[r], held, total = hot_grams(held), {}, 0
         if held:
             hot[last] = (hot[last] or []) + hot_grams(held)
@@ -469,10 +472,12 @@ def tile_udf(threshold: float, buckets: int):
                 if not len(x):
                     continue
                 f0, f1 = rows["f0"].to_numpy(), rows["f1"].to_numpy()
+                part = x // SHARE  # a crowded tile's pairs are several buckets
                 swap = (f0[x] > f0[y]) | ((f0[x] == f0[y]) & (f1[x] > f1[y]))
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
-                at = int(textbuf.mix(np.array([(ident[s] * np.array([1, 7, 131, 524287])).sum()], np.int64).view(np.uint64))[0] % np.uint64(buckets))
-                yield pa.RecordBatch.from_arrays([pa.array(f0[x]), pa.array(f1[x]), pa.array(f0[y]), pa.array(f1[y]), pa.array(np.full(len(x), at))], names=["a0", "a1", "b0", "b1", "bucket"])
+                tile = (ident[s] * np.array([1, 7, 131, 524287])).sum()
+                at = (textbuf.mix((tile + 8191 * part).astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(f0[x]), pa.array(f1[x]), pa.array(f0[y]), pa.array(f1[y]), pa.array(at)], names=["a0", "a1", "b0", "b1", "bucket"])
 
         def ids(table: pa.Table) -> np.ndarray:
             return np.column_stack([table[c].to_numpy().astype(np.int64) for c in ("key", "tile", "i", "j")])

@@ -12,8 +12,8 @@ size that says where they are:
     bloom   u8 hashes, u64 bits, bits
     footer  u64 index offset, u64 bloom offset, u64 entries, u64 least key, u64 greatest key, magic
 
-Keys are 8 bytes, big-endian, with the sign bit flipped, so that bytes sort as integers do.  A value is a text's UTF-8 bytes (its
-byte-level token ids) or packed little-endian token ids.
+Keys are 8 bytes, big-endian, with the sign bit flipped, so that bytes sort as integers do.  A value is token ids, four bytes each,
+little-endian, or a text's UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ RESTART = 16
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS = 10  # a key
 BLOOM_HASHES = 7
-#: Documents in a shard, on average.
-SHARD_ROWS = 20_000
+#: Bytes of values in a shard, on average.
+SHARD_BYTES = 32 << 20
 
 
 def key_bytes(key: int) -> bytes:
@@ -258,27 +258,35 @@ def sections_udf(block_bytes: int):
 
 
 def packed(df: DataFrame, value: str) -> DataFrame:
-    """id and value: bytes of a string or binary column as they are, of an array of token ids two or four bytes each."""
+    """id and value: bytes of a string or binary column as they are, of an array of token ids four bytes each."""
     kind = df.schema[value].dataType
     if isinstance(kind, T.ArrayType):
 
         @F.arrow_udf("binary")
         def pack(tokens: pa.Array) -> pa.Array:
-            return pa.array([None if x is None else np.array(x, "<u4").tobytes() for x in tokens.to_pylist()], pa.binary())
+            if tokens.values.null_count:
+                raise ValueError("a token id is null")
+            ids = tokens.values.to_numpy().astype("<u4")
+            offsets = tokens.offsets.to_numpy().astype(np.int64) * 4
+            valid = pa.array(np.packbits(tokens.is_valid().to_numpy(zero_copy_only=False), bitorder="little")).buffers()[1]
+            return pa.Array.from_buffers(pa.large_binary(), len(tokens), [valid, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
 
         return df.withColumn(value, pack(F.col(value)))
     return df.withColumn(value, F.col(value).cast("binary"))
 
 
-def sections(df: DataFrame, *, key: str = "doc_id", value: str = "text", shard_rows: int = SHARD_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def sections(df: DataFrame, *, key: str = "doc_id", value: str = "text", shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The sections of all shards, which joined in order of ``offset`` are the shard's file.
 
-    Shards are consecutive ranges of the identifier, about ``shard_rows`` documents each (numbers with gaps where a range is empty).  Rows
+    Shards are consecutive ranges of the identifier, about ``shard_bytes`` of values each (numbers with gaps where a range is empty).  Identifiers are
+    integers or what casts to them; others are an error, as are null token ids.  Rows
     with a null identifier have no key and are left out; a null value is an entry that is null, an empty one is empty.
     All rows of a repeated identifier are entries, in order of value.  Other columns aren't looked at.
     """
-    own = packed(df.select(F.col(key).cast("long").alias("id"), F.col(value).alias("v")).where("id is not null"), "v")
-    parts = max(1, -(-df.count() // shard_rows))
+    named = df.select(F.col(key).cast("long").alias("id"), F.col(value).alias("v")).where("id is not null")
+    size = 4 * F.size("v") if isinstance(df.schema[value].dataType, T.ArrayType) else F.octet_length("v")
+    total = named.agg(F.sum(F.when(F.col("v").isNotNull(), size).cast("long"))).first()[0] or 0
+    own, parts = packed(named, "v"), max(1, -(-total // shard_bytes))
     return own.repartitionByRange(parts, "id").sortWithinPartitions("id", "v").mapInArrow(sections_udf(block_bytes), SECTION)
 
 

@@ -134,8 +134,9 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return slices(prefix(w.hash, WORD_BASE), start, end, WORD_BASE), row
 
 
-try:
+try:  # arrays of 8 MB and more go back to the machine when they are freed
     _trim = ctypes.CDLL(None).malloc_trim
+    ctypes.CDLL(None).mallopt(-3, 8 << 20)
 except (AttributeError, OSError):  # another C library
     _trim = None
 

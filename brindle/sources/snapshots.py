@@ -70,15 +70,41 @@ class Folder:
         current = self.load(f"{name}.current")
         if current is None:
             return self.spark.createDataFrame([], schema)
+        if current.startswith("{"):  # buckets
+            paths = [f"{self.path}/{name}/{p}" for p in json.loads(current).values()]
+            return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{current}")
 
+    def buckets(self, name: str, numbers: list[int]) -> DataFrame | None:
+        """The rows of some buckets of a table; None if the table isn't kept in buckets."""
+        current = self.load(f"{name}.current")
+        if current is None or not current.startswith("{"):
+            return None
+        held = json.loads(current)
+        paths = [f"{self.path}/{name}/{held[str(n)]}" for n in numbers if str(n) in held]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def replace_buckets(self, name: str, rows: DataFrame, column: str, numbers: list[int]) -> None:
+        """Writes some buckets of a table anew, whose number is in a column; the others stay where they are."""
+        old, new = self.load(f"{name}.current") or "{}", uuid.uuid4().hex
+        rows.repartition(column).write.partitionBy(column).parquet(f"{self.path}/{name}/{new}")
+        held = json.loads(old) if old.startswith("{") else {}
+        there = {s.getPath().getName() for s in self._fs.listStatus(self._at(f"{name}/{new}"))}
+        late = [p for n, p in held.items() if int(n) in numbers] if old.startswith("{") else [old]
+        held = {n: p for n, p in held.items() if int(n) not in numbers} | {str(n): f"{new}/{column}={n}" for n in numbers if f"{column}={n}" in there}
+        self._succeed(name, json.dumps(held), late)
+
     def replace(self, name: str, rows: DataFrame) -> None:
         """Writes a snapshot and makes it the current one.  Earlier ones stay for ``RETENTION`` seconds, so that what reads them can end."""
-        old, new = self.load(f"{name}.current"), uuid.uuid4().hex
+        old, new = self.load(f"{name}.current") or "{}", uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/{name}/{new}")
-        self.save(f"{name}.current", new)
+        self._succeed(name, new, [*json.loads(old).values()] if old.startswith("{") else [old])
+
+    def _succeed(self, name: str, current: str, late: list[str]) -> None:
+        """Moves the pointer; what it no longer names is dropped when its time is over."""
+        self.save(f"{name}.current", current)
         now, left = time.time(), []
-        for at, version in json.loads(self.load(f"{name}.earlier") or "[]") + ([[now, old]] if old else []):
+        for at, version in json.loads(self.load(f"{name}.earlier") or "[]") + [[now, p] for p in late]:
             if now - at < RETENTION:
                 left.append([at, version])
             else:

@@ -26,14 +26,30 @@ def fold(table: DataFrame, writes: DataFrame) -> DataFrame:
     return upsert_edges(old.unionByName(writes))
 
 
+#: Parts that the followed table is kept in; a batch reads and writes those its edges belong to.
+BUCKETS = 64
+
+
+def bucketed(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("__bucket", F.pmod(F.xxhash64("src", "dst", "type", "directed"), F.lit(BUCKETS)).cast("int"))
+
+
 def follow_edges(writes: DataFrame, folder: Folder, checkpoint: str) -> StreamingQuery:
-    """Folds each batch into the folder's ``edges``, once: a batch number that was written is skipped when it comes again."""
+    """Folds each batch into the folder's ``edges``, once: a batch number that was written is skipped when it comes again.
+
+    The table is kept in buckets by edge, and only those that a batch writes to are read and written anew.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
         done = folder.load("edges.batch")
         if done is not None and int(done) >= number:
             return
-        folder.replace("edges", fold(folder.table("edges"), batch))
+        numbers = sorted(r[0] for r in bucketed(batch).select("__bucket").distinct().collect())  # BUCKETS at most
+        old = folder.buckets("edges", numbers)
+        if old is None:  # the first batch: all of the table is put in buckets
+            old, numbers = folder.table("edges"), list(range(BUCKETS))
+        if numbers:
+            folder.replace_buckets("edges", bucketed(fold(old, batch)), "__bucket", numbers)
         folder.save("edges.batch", str(number))
 
     return writes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(one).start()

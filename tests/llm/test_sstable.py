@@ -45,7 +45,7 @@ def test_bloom_filter_turns_most_away():
 
 def test_files_hold_all_documents(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    done = sstable.write(docs, str(tmp_path), shard_rows=40, block_bytes=2000).collect()
+    done = sstable.write(docs, str(tmp_path), shard_bytes=200_000, block_bytes=2000).collect()
     assert len(done) > 2 and sum(r.entries for r in done) == docs.count()
     shards = [(r.first_id, r.last_id, sstable.Shard(path=str(Path(tmp_path, r.file)))) for r in done]
     for r in docs.collect():

@@ -90,3 +90,23 @@ def test_stream_folds_batches_once(spark, small, tmp_path):
     upserts.follow_edges(upserts.edge_writes(stream), folder, str(tmp_path / "c")).awaitTermination()
     whole = spark.read.parquet(f"{small}/events.parquet").select("user_id", "event_type").distinct().count()
     assert folder.table("edges").count() == whole
+
+
+def test_only_the_buckets_of_a_batch_are_written(spark, tmp_path):
+    folder = snapshots.Folder(spark, f"file://{tmp_path}/db")
+    edge = "seq long, src string, dst string, type string, directed boolean, weight double, confidence double, modality string, ambiguity string, props string"
+    rows = [(i, f"a{i}", "b", "t", True, 0.5, None, None, None, None) for i in range(300)]
+    first = upserts.upsert_edges(spark.createDataFrame(rows, edge))
+    folder.replace("edges", first)
+    batch = spark.createDataFrame([(400, "a7", "b", "t", True, 0.9, None, None, None, None), (401, "new", "b", "t", True, 0.1, None, None, None, None)], edge)
+    everything = list(range(upserts.BUCKETS))
+    folder.replace_buckets("edges", upserts.bucketed(folder.table("edges")), "__bucket", everything)
+    before = json.loads(folder.load("edges.current"))
+    numbers = sorted(r[0] for r in upserts.bucketed(batch).select("__bucket").distinct().collect())
+    folder.replace_buckets("edges", upserts.bucketed(upserts.fold(folder.buckets("edges", numbers), batch)), "__bucket", numbers)
+    after = json.loads(folder.load("edges.current"))
+    assert {int(n) for n in after if after[n] != before.get(n)} == set(numbers)
+    held = {r.src: r.weight for r in folder.table("edges").collect()}
+    assert len(held) == 301 and held["a7"] == 0.9 and held["new"] == 0.1 and held["a8"] == 0.5
+    folder.replace("edges", folder.table("edges").where("src = 'new'"))
+    assert folder.table("edges").count() == 1 and folder.buckets("edges", [1]) is None
