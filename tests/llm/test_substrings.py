@@ -1,4 +1,5 @@
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -9,15 +10,18 @@ N = substrings.WINDOW + substrings.PERIOD - 1
 
 
 def check(rows, texts) -> set:
-    """Every row is a maximal match; returns the covered words."""
+    """Every word of a row's span lies in a window that the other text has too; returns the covered words."""
     words = {k: t.split() for k, t in texts.items()}
+    windows = lru_cache(None)(lambda k: {tuple(words[k][i : i + substrings.WINDOW]) for i in range(len(words[k]) - substrings.WINDOW + 1)})
     covered = set()
     for r in rows:
-        a, b = words[r.doc_id], words[r.other_id]
-        assert r.n_words >= substrings.WINDOW
+        a, end = words[r.doc_id], r.start_word + r.n_words
+        assert r.n_words >= substrings.WINDOW and end <= len(a)
         if r.doc_id != r.other_id or r.start_word != r.other_start:
             covered |= {(r.doc_id, i) for i in range(r.start_word, r.start_word + r.n_words)}
-        assert a[r.start_word + r.n_words - 1] in b
+        shared = [i for i in range(r.start_word, end - substrings.WINDOW + 1) if tuple(a[i : i + substrings.WINDOW]) in windows(r.other_id)]
+        assert shared and shared[0] == r.start_word and shared[-1] == end - substrings.WINDOW
+        assert all(y - x <= substrings.WINDOW for x, y in zip(shared, shared[1:]))
     return covered
 
 
