@@ -1,8 +1,8 @@
 """Byte-level BPE with a two-tier lookup.
 
 Pre-tokens that are in the vocabulary as they stand are resolved by a minimal perfect hash (hash and displace):
-one hash, one displacement, one comparison.  The rest is merged with a heap of candidate pairs over a linked list
-of bytes, lowest rank first and leftmost of equal ranks.  Texts are cut into pre-tokens by the classes of their characters, a
+one hash, one displacement, one comparison.  The rest is merged lowest rank first and leftmost of equal ranks: long ones with
+a heap of candidate pairs over a linked list of bytes, short ones of a batch together, a merge of each in a round.  Texts are cut into pre-tokens by the classes of their characters, a
 batch at a time, and each pre-token is hashed as a slice of the batch; what a worker has resolved it remembers by that hash, in a
 table of bounded size.  Two pre-tokens of one hash can't go unseen: the tokens' bytes are compared with the text's, and where they
 differ the texts are encoded one by one.  Vocabularies are files of base64 tokens and ranks, at a path that is a parameter; they
@@ -23,12 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf
+from .common import small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRETOKEN = regex.compile(PATTERN)
 #: Pre-tokens that a worker remembers: slots by hash, two for each, and token ids of all slots before they are emptied.
-SLOT_BITS, POOL = 20, 1 << 22
+SLOT_BITS, POOL = 19, 1 << 21
+#: Bytes of a pre-token up to which it is merged together with the others of a batch.
+SHORT = 64
+_NO_PAIR = np.iinfo(np.int32).max
 _M64 = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 
@@ -93,6 +97,18 @@ class PerfectHash:
         return self.ids[s] if self.tokens[s] == token else -1
 
 
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all two tokens that are a token together: first * len(ranks) + second, sorted, and the token that they are."""
+    get, n = ranks.get, len(ranks)
+    pairs = sorted((a * n + b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None)
+    return np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int32)
+
+
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1 ... of n[i] numbers each, one after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of a pre-token by merging its bytes."""
     n = len(word)
@@ -194,14 +210,18 @@ def boundaries(data: np.ndarray, row_byte: np.ndarray) -> np.ndarray:
 class Codec:
     """Token ids of texts by a vocabulary, and texts of token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], table: PerfectHash | None = None) -> None:
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash | None = None, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.ranks, self.table = ranks, table or PerfectHash(ranks)
+        self.pairs, self.paired = pairs or pair_table(ranks)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.bytes_of = [b""] * len(ranks)
         for token, r in ranks.items():
             self.bytes_of[r] = token
         self.sizes = np.array([len(b) for b in self.bytes_of])
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.displacement, self.slots = np.array(self.table.displacement), np.array(self.table.ids)
+        self.byte_pairs = self._pair(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
         self._forget()
 
     def _forget(self) -> None:
@@ -213,6 +233,85 @@ class Codec:
         whole = self.table.get(pretoken)
         return [whole] if whole >= 0 else merge(pretoken, self.ranks)
 
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The tokens that two tokens each are together; _NO_PAIR if they are none."""
+        if not len(self.pairs):
+            return np.full(len(left), _NO_PAIR, np.int32)
+        key = left.astype(np.int64) * len(self.ranks) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.paired[at], _NO_PAIR)
+
+    def merge_many(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids as ``merge`` finds them of many pre-tokens, and how many each has: each round merges the lowest pair, the leftmost of equal ones, of every pre-token that has one."""
+        n = end - start
+        begin, counts = np.cumsum(n) - n, np.zeros(len(n), np.int64)
+        raw = data[spread(start, n)]
+        token = self.byte_ids[raw]
+        done = np.empty(len(token), np.int32)  # each pre-token's from its begin on
+        rank = np.full(len(token), _NO_PAIR, np.int32)
+        inner = np.ones(len(token), bool)
+        inner[begin + n - 1] = False
+        inner = np.flatnonzero(inner)
+        rank[inner] = self.byte_pairs[raw[inner].astype(np.int64) << 8 | raw[inner + 1]]
+        word = np.arange(len(n))
+        while len(word):
+            at = np.cumsum(n) - n
+            least = np.minimum.reduceat(rank, at)
+            on = least != _NO_PAIR
+            if not on.all():
+                keep, over = np.repeat(on, n), word[~on]
+                counts[over] = n[~on]
+                done[spread(begin[over], n[~on])] = token[~keep]
+                token, rank, word, n, least = token[keep], rank[keep], word[on], n[on], least[on]
+                if not len(word):
+                    break
+                at = np.cumsum(n) - n
+            lowest = np.flatnonzero(rank == np.repeat(least, n))
+            at = lowest[np.searchsorted(lowest, at)]
+            token[at] = least
+            keep = np.ones(len(token), bool)
+            keep[at + 1] = False
+            token, rank, n = token[keep], rank[keep], n - 1
+            at = at - np.arange(len(at))  # each earlier pre-token is one token shorter
+            first = np.cumsum(n) - n
+            rank[at] = _NO_PAIR
+            near = np.concatenate([at[at > first] - 1, at[at < first + n - 1]])
+            rank[near] = self._pair(token[near], token[near + 1])
+        return done[spread(begin, counts)], counts
+
+    def whole_many(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """What the perfect hash has of many pre-tokens: a token's id, or -1."""
+        raw, hashed = data.tobytes(), xxhash.xxh3_64_intdigest
+        h = np.array([hashed(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())], np.uint64)
+        d = self.displacement[(h % np.uint64(self.table.buckets)).astype(np.int64)]
+        x = h + np.maximum(d, 0).astype(np.uint64) * np.uint64(_STEP)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        found = self.slots[np.where(d < 0, -d - 1, ((x ^ (x >> np.uint64(32))) % np.uint64(self.table.size)).astype(np.int64))]
+        size = end - start
+        fits = np.flatnonzero(self.sizes[found] == size)
+        out = np.full(len(h), -1, np.int32)
+        if len(fits):
+            n = size[fits]
+            same = np.logical_and.reduceat(self.flat[spread(self.begins[found[fits]], n)] == data[spread(start[fits], n)], np.cumsum(n) - n)
+            out[fits[same]] = found[fits[same]]
+        return out
+
+    def resolve_many(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``resolve`` finds of many pre-tokens: token ids, and how many each has."""
+        whole = self.whole_many(data, start, end)
+        sizes = np.ones(len(start), np.int32)
+        short = np.flatnonzero((whole < 0) & (end - start <= SHORT))
+        merged, sizes[short] = self.merge_many(data, start[short], end[short])
+        long = {i: merge(data[start[i] : end[i]].tobytes(), self.ranks) for i in np.flatnonzero((whole < 0) & (end - start > SHORT)).tolist()}
+        for i, found in long.items():
+            sizes[i] = len(found)
+        ids, at = np.empty(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
+        ids[at[whole >= 0]] = whole[whole >= 0]
+        ids[spread(at[short], sizes[short])] = merged
+        for i, found in long.items():
+            ids[at[i] : at[i] + len(found)] = found
+        return ids, sizes
+
     def _lookup(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Token ids of all pre-tokens, and how many each has."""
         slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -225,10 +324,7 @@ class Codec:
         pool = self.pool
         if len(miss):
             own, first, which = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            found = [self.resolve(raw[a:b]) for a, b in zip(start[miss[first]].tolist(), end[miss[first]].tolist())]
-            sizes = np.array([len(f) for f in found], np.int32)
-            ids = np.array([i for f in found for i in f], np.int32)
+            ids, sizes = self.resolve_many(data, start[miss[first]], end[miss[first]])
             if self.filled + len(ids) > POOL:
                 at, n = np.where(known, at, 0), np.where(known, n, 0)
                 pool = np.concatenate([self.pool[: self.filled], ids])  # of this batch only
@@ -243,8 +339,7 @@ class Codec:
                 self.hashes[to], self.at[to], self.n[to] = own, begin, sizes
             at, n = at.astype(np.int64), n.astype(np.int64)
             at[miss], n[miss] = begin[which], sizes[which]
-        before = np.cumsum(n) - n
-        return pool[np.repeat(at - before, n) + np.arange(int(n.sum()))], n
+        return pool[spread(at, n)], n
 
     def encode_rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token ids of all texts, how many each has, and whether decoding them gives the text back."""
@@ -302,15 +397,16 @@ def _codec(shared) -> Codec:
     key = shared.value["digest"]
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(shared.value["ranks"], shared.value["table"])
+        _codecs[key] = Codec(shared.value["ranks"], shared.value["table"], shared.value["pairs"])
     return _codecs[key]
 
 
 def share(spark: SparkSession, path: str = VOCABULARY):
     """The vocabulary and its perfect hash as a broadcast variable; its size is the vocabulary's, whatever the data's."""
+    small_batches(spark)
     ranks = load(path)
     digest = xxhash.xxh3_128_hexdigest(Path(path).read_bytes())
-    return spark.sparkContext.broadcast({"digest": digest, "ranks": ranks, "table": PerfectHash(ranks)})
+    return spark.sparkContext.broadcast({"digest": digest, "ranks": ranks, "table": PerfectHash(ranks), "pairs": pair_table(ranks)})
 
 
 ENCODED = "struct<tokens: array<int>, exact: boolean>"

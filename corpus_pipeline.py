@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import bpe, exactdedup, mixing, quality, setjoin
-from brindle.llm.common import table, written
+from brindle.llm.common import small_batches, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no learned rule rejects."""
+    small_batches(spark)  # for all stages
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 

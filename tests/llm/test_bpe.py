@@ -5,7 +5,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brindle.llm import bpe
+from brindle.llm import bpe, common
 
 PATHS = ["/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"]
 
@@ -110,3 +110,39 @@ def test_vocabularies_must_be_whole(tmp_path):
     (tmp_path / "v").write_text("YQ== 0\n")
     with pytest.raises(ValueError):
         bpe.load(str(tmp_path / "v"))
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.binary(min_size=1, max_size=40) | st.text("abehlnorst ", min_size=1, max_size=90).map(str.encode), min_size=1, max_size=12))
+def test_pre_tokens_resolved_together_are_as_one_by_one(words):
+    codec, _ = test_any_texts_as_the_public_library_does.pair
+    data, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    for many, one in ((codec.merge_many, lambda w: bpe.merge(w, _ranks)), (codec.resolve_many, codec.resolve)):
+        ids, n = many(data, start, end)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [one(w) for w in words]
+    assert codec.whole_many(data, start, end).tolist() == [_ranks.get(w, -1) for w in words]
+
+
+def test_what_a_worker_remembers_is_small():
+    codec, _ = test_any_texts_as_the_public_library_does.pair
+    assert sum(x.nbytes for x in (codec.hashes, codec.at, codec.n, codec.pool)) <= 16 << 20
+
+
+@pytest.mark.parametrize("before, after", [("64m", common.BATCH_BYTES), ("-1", common.BATCH_BYTES), ("1000000", 1_000_000)])
+def test_batches_are_small(spark, before, after):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    try:
+        spark.conf.set(name, before)
+        common.small_batches(spark)
+        assert int(spark.conf.get(name).removesuffix("b")) == after
+        sizes = bpe.F.arrow_udf("long")(_batch_bytes)
+        texts = spark.range(0, 3000, 1, 1).select(bpe.F.repeat(bpe.F.lit("x"), 10_000).alias("text"))
+        assert max(r.n for r in texts.select(sizes("text").alias("n")).collect()) <= after + 10_000  # a row more
+    finally:
+        spark.conf.set(name, was)
+
+
+def _batch_bytes(text: pa.Array) -> pa.Array:
+    return pa.array([sum(map(len, text.to_pylist()))] * len(text))
