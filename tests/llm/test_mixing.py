@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 import pytest
 
-from brindle.llm import bpe, mixing, queries
+from brindle.llm import bpe, common, mixing, queries
 from tests.compare import same
 
 
@@ -117,3 +117,16 @@ def test_odd_rows(spark):
     assert mixing.mixed_documents(docs, block=1000).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("doc_id < 3")).count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        docs = spark.createDataFrame([(1, list(range(5000)), "a")], "doc_id long, tokens array<int>, source string")
+        rows = mixing.mix(docs, content="tokens").where("epoch = 0").collect()
+        assert int(spark.conf.get(name).removesuffix("b")) == common.BATCH_BYTES
+        assert [t for r in sorted(rows, key=lambda r: r.block) for t in r.tokens] == list(range(5000))
+    finally:
+        spark.conf.set(name, was)
