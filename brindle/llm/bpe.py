@@ -412,15 +412,21 @@ def share(spark: SparkSession, path: str = VOCABULARY):
 ENCODED = "struct<tokens: array<int>, exact: boolean>"
 
 
-def packed_udf(shared):
-    """Tokens of a text as bytes, four each, little-endian; null of null."""
+def sortable_ids(vocabulary: str = VOCABULARY) -> str:
+    """The numpy type of a vocabulary's token ids in as few bytes as hold them all; bytes of such ids are in the order of the ids."""
+    return ">u2" if len(load(vocabulary)) <= 1 << 16 else ">u4"
+
+
+def packed_udf(shared, ids: str):
+    """Tokens of a text as bytes, each a number of the numpy type ``ids``; null of null."""
+    width = np.dtype(ids).itemsize
 
     @F.arrow_udf("binary")
     def encode(text: pa.Array) -> pa.Array:
         values, counts, _ = _codec(shared).encode_rows(text)
         offsets = np.zeros(len(text) + 1, np.int32)
-        np.cumsum(4 * counts, out=offsets[1:])
-        out = pa.Array.from_buffers(pa.binary(), len(text), [text.is_valid().buffers()[1], pa.py_buffer(offsets), pa.py_buffer(values.astype("<i4", copy=False))])
+        np.cumsum(width * counts, out=offsets[1:])
+        out = pa.Array.from_buffers(pa.binary(), len(text), [text.is_valid().buffers()[1], pa.py_buffer(offsets), pa.py_buffer(values.astype(ids, copy=False))])
         textbuf.release()
         return out
 
@@ -464,9 +470,9 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, keep: tuple[str, ..
     return found.select("doc_id", *also, "e.tokens", F.when(F.col("e").isNotNull(), F.size("e.tokens")).alias("n_tokens"), "e.exact")
 
 
-def encode_packed(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id and tokens of every row of docs, as ``encode`` has them, in bytes for files: four each, little-endian."""
-    return docs.select("doc_id", packed_udf(share(docs.sparkSession, vocabulary))("text").alias("tokens"))
+def encode_packed(docs: DataFrame, *, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = (), ids: str = "<i4") -> DataFrame:
+    """doc_id, the columns to keep and tokens of every row of docs, as ``encode`` has them, in bytes: for files four each, little-endian, or of another numpy type."""
+    return docs.select("doc_id", *[F.col(f"`{c}`") for c in keep], packed_udf(share(docs.sparkSession, vocabulary), ids)("text").alias("tokens"))
 
 
 def decode(encoded: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -24,9 +24,10 @@ def op3_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of 2,048 token ids; documents are encoded once, as the schedule needs their numbers before they are cut."""
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), keep=("lang", "source")).drop("n_tokens", "exact")
-    return mixing.mix(written(encoded, "encoded"), content="tokens")
+    """Blocks of 2,048 token ids; documents are encoded once, as the schedule needs their numbers before they are cut, and packed until then."""
+    ids = bpe.sortable_ids()
+    encoded = bpe.encode_packed(table(spark, sf_dir, "documents"), keep=("lang", "source"), ids=ids)
+    return mixing.mix(written(encoded, "encoded"), content="tokens", ids=ids)
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -130,3 +131,32 @@ def test_batches_are_bounded_by_bytes(spark):
         assert [t for r in sorted(rows, key=lambda r: r.block) for t in r.tokens] == list(range(5000))
     finally:
         spark.conf.set(name, was)
+
+
+@pytest.mark.parametrize("kind", [">u2", ">u4"])
+def test_packed_ids_mix_as_arrays_do(spark, kind):
+    """Null and empty contents, null and repeated ids, ties by content, ids beyond 15 bits; arrays come out."""
+    rows = [(1, [7] * 25, "a"), (2, [], "a"), (3, None, None), (4, [50_000, 1], None), (4, [255, 256], None), (4, [256], None), (4, [255], None), (None, list(range(40_000, 40_033)), "a"), (4, [255], None)]
+    arrays = spark.createDataFrame(rows, "doc_id long, tokens array<int>, source string")
+    pack = [(k, None if t is None else np.array(t, kind).tobytes(), s) for k, t, s in rows]
+    packed = spark.createDataFrame(pack, "doc_id long, tokens binary, source string")
+    want, got = mixing.mix(arrays, content="tokens", block=10), mixing.mix(packed, content="tokens", block=10, ids=kind)
+    assert got.dtypes == want.dtypes
+    assert Counter(map(str, got.collect())) == Counter(map(str, want.collect())) and got.count() > 10
+
+
+def test_documents_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "x y z", "a")], "doc_id long, text string, source string")
+    plan = mixing.mix(docs, block=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [cut(") == 1
+
+
+def test_registered_query_keeps_packed_ids(spark, small, monkeypatch):
+    """Between encoding and cutting a token id takes two bytes; the result has arrays."""
+    kept = []
+    monkeypatch.setattr(queries, "written", lambda df, what: kept.append(common.written(df, what)) or kept[-1])
+    assert dict(queries.op4_source_mixing(spark, small).dtypes)["tokens"] == "array<int>"
+    codec = bpe.Codec(bpe.load())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(20).collect()}
+    for r in kept[0].where(kept[0].doc_id.isin(list(texts))).collect():
+        assert np.frombuffer(r.tokens, ">u2").tolist() == codec.encode(texts[r.doc_id])
