@@ -107,3 +107,17 @@ def test_queries_that_are_refused(text):
 def test_tokens(spark):
     row = spark.createDataFrame([("Ärger, über-all 2x 2X",)], "t string").select(terms.tokens(F.col("t")).alias("w")).first()
     assert row.w == ["ärger", "über", "all", "2x"]
+
+
+def test_common_neighbours_travel_as_lists_of_numbers(spark):
+    """Pairs of asked nodes and their like never meet as rows of their own in a shuffle, whichever few are asked."""
+    e = edges(spark, *[(f"s:{i}", f"p:{j}", "supplies") for i in range(12) for j in range(30) if (i * j) % 5 < 2])
+    near = {i: {j for j in range(30) if (i * j) % 5 < 2} for i in range(12)}
+    n = nodes(spark, e)
+    for few in (range(12), (3,)):
+        asked = spark.createDataFrame([(f"s:{i}",) for i in few], "id string")
+        got = {(r.id, r.candidate): (r.context, r.shared_count, list(r.shared)) for r in recall.similar(asked, n, e, by="context", precision=0.4, limit=None).collect()}
+        want = {(f"s:{i}", f"s:{k}"): (near[i] & near[k], near[i] | near[k]) for i in few for k in range(12) if i != k}
+        assert got == {k: (int(len(a) / len(b) * 1e6 + 0.5) / 1e6, len(a), sorted(f"p:{j}" for j in a)[:8]) for k, (a, b) in want.items() if len(a) / len(b) >= 0.4}
+    plan = recall.common(spark.createDataFrame([("s:3",)], "id string"), e, direction="both", precision=0.4, listed=False)
+    assert {f.name for f in plan.schema} == {"id", "candidate", "context", "shared_count", "shared"}
