@@ -121,3 +121,18 @@ def test_common_neighbours_travel_as_lists_of_numbers(spark):
         assert got == {k: (int(len(a) / len(b) * 1e6 + 0.5) / 1e6, len(a), sorted(f"p:{j}" for j in a)[:8]) for k, (a, b) in want.items() if len(a) / len(b) >= 0.4}
     plan = recall.common(spark.createDataFrame([("s:3",)], "id string"), e, direction="both", precision=0.4, listed=False)
     assert {f.name for f in plan.schema} == {"id", "candidate", "context", "shared_count", "shared"}
+
+
+def test_equal_starts_spread_once_and_only_over_links_of_what_is_reached(spark, known):
+    rows = [(f"q{i}", s) for i in range(20) for s in ("city:berlin", "cat:luna" if i % 2 else f"none:{i}")]
+    asked = spark.createDataFrame(rows, "query string, seed string")
+    seeds = asked.select("query", "seed", F.col("seed").alias("node"), F.lit(1.0).alias("score"))
+    o = {"hops": 3, "precision": 0.01}
+    columns = ["query", "seed", "node", "activation", "depth", "hops", "path"]
+    alone = recall.spread(seeds, known, recall.Options(**o, budget=262_144)).select(*columns)
+    assert sorted(map(repr, recall.spread(seeds, known, recall.Options(**o)).select(*columns).collect())) == sorted(map(repr, alone.collect()))
+    bare = recall.recall_exact(asked, known, recall.Options(**o, limit=None), paths=False)
+    full = recall.recall_exact(asked, known, recall.Options(**o, limit=None))
+    assert sorted(map(repr, bare.drop("via").collect())) == sorted(map(repr, full.drop("via").collect())) and bare.where("via is not null").isEmpty()
+    near = recall.links(known, recall.Options(), spark.createDataFrame([("city:berlin",)], "node string"))
+    assert {r.node for r in near.collect()} == {"city:berlin"}
