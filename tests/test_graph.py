@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import belief
 from brindle.operators import graph, pattern, recall, terms
+from brindle.plans import lineage
 
 EDGE = "seq int, src string, dst string, type string, directed boolean, weight double, confidence double, modality string, ambiguity string, props string"
 
@@ -136,3 +139,25 @@ def test_equal_starts_spread_once_and_only_over_links_of_what_is_reached(spark,
     assert sorted(map(repr, bare.drop("via").collect())) == sorted(map(repr, full.drop("via").collect())) and bare.where("via is not null").isEmpty()
     near = recall.links(known, recall.Options(), spark.createDataFrame([("city:berlin",)], "node string"))
     assert {r.node for r in near.collect()} == {"city:berlin"}
+
+
+def test_a_sieve_lets_through_all_that_are_in_it_and_few_others(spark):
+    ids = spark.range(2000).select(F.concat(F.lit("n:"), "id").alias("id"))
+    bits = lineage.sieve(ids.where("id like 'n:1%'"), "id")
+    told = {r.id: r.m for r in lineage.flagged(ids, "id", bits, "m").collect()}
+    assert all(m for i, m in told.items() if i.startswith("n:1")) and sum(told.values()) < 1200
+    assert lineage.passing(ids, "id", bits).columns == ["id"]
+
+
+def test_ends_that_are_not_deleted_are_not_shuffled(spark, known):
+    gone = spark.createDataFrame([("city:berlin",), ("nobody",)], "id string")
+    left = graph.delete_nodes(nodes(spark, known), known, gone, cascade=True)[1]
+    assert {(r.src, r.dst) for r in left.collect()} == {(r.src, r.dst) for r in known.collect() if "city:berlin" not in (r.src, r.dst)}
+    assert "Union" in left._jdf.queryExecution().optimizedPlan().toString()  # most go past the joins
+
+
+def test_page_of_types_is_ranked_in_parts_of_bounded_size(spark, known, monkeypatch):
+    monkeypatch.setattr(graph, "SORTED", 1)
+    rows = graph.neighbor_types(known, direction="both", limit=1)
+    assert re.search(rf"RepartitionByExpression \[node#\d+\], {2 * known.count()}\b", rows._jdf.queryExecution().optimizedPlan().toString())
+    assert {r.node: r.n for r in rows.groupBy("node").agg(F.sum("n").alias("n")).collect()}["city:berlin"] == 2
