@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import clamp01
-from ..plans.lineage import cut, in_ranges, numbered
+from ..plans.lineage import cut, in_ranges, numbered, passing, sieve, small
 
 TYPING = "generalizations"
 
@@ -29,9 +29,20 @@ def split(edges: DataFrame, ratio: float = 0.2, seed: int = 42) -> tuple[DataFra
     upto = F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))  # 65536 rows at most
     total = counts.agg(F.sum("count").alias("n"))
     wanted = F.least(F.greatest(F.floor(F.col("n") * ratio + 0.5), F.lit(1)), F.col("n"))
-    marks = counts.withColumn("upto", upto).crossJoin(F.broadcast(total)).select("__b", (F.col("upto") <= wanted).alias("whole"), (wanted - (F.col("upto") - F.col("count"))).alias("room"))
+    edge = F.struct("__h", "relation", "src", "dst")
+    marks = counts.withColumn("upto", upto).crossJoin(F.broadcast(total)).select("__b", (wanted - (F.col("upto") - F.col("count"))).alias("room"))
+    last = marks.where("room > 0").orderBy(F.desc("__b")).limit(1).first()  # the range of the last one held out
+    if last is None:
+        return edges, edges.where(F.lit(False))
+    own = rows.where(free & (F.col("__b") == last["__b"])).withColumn("__i", F.row_number().over(Window.orderBy("__h", "relation", "src", "dst")))  # one of 65536 ranges
+    end = own.where(F.col("__i") <= last["room"]).orderBy(F.desc("__i")).limit(1).select(edge.alias("e")).first()["e"]
+    end = F.struct(*(F.lit(x).alias(c) for c, x in end.asDict().items()))
+    same = own.where(edge == end).agg(F.max("__i")).first()[0]
+    if same <= last["room"]:
+        held = F.coalesce(free & (edge <= end), F.lit(False))
+        return rows.where(~held).select(*edges.columns), rows.where(held).select(*edges.columns)
     in_range = F.row_number().over(Window.partitionBy("__b", free).orderBy("__h", "relation", "src", "dst"))
-    marked = rows.join(F.broadcast(marks), "__b", "left").withColumn("__held", free & F.coalesce(F.col("whole") | (in_range <= F.col("room")), F.lit(False)))
+    marked = rows.join(F.broadcast(marks), "__b", "left").withColumn("__held", free & F.coalesce(in_range <= F.col("room"), F.lit(False)))  # copies of the last edge, of which some stay
     return marked.where(~F.col("__held")).select(*edges.columns), marked.where("__held").select(*edges.columns)
 
 
@@ -49,12 +60,12 @@ def target_prior(train: DataFrame) -> DataFrame:
     return train.groupBy("relation", "dst").agg(F.count("*").alias("k")).join(whole, "relation").select("relation", "dst", (F.col("k") / F.col("n")).alias("target_prior"))
 
 
-def conditional(train: DataFrame) -> DataFrame:
+def conditional(train: DataFrame, has: DataFrame | None = None) -> DataFrame:
     """P(right | left) over sources: how many that have relation left have right as well.
 
     A source's distinct relations make the pairs, so work grows with relations a source, not with its edges.
     """
-    has = train.select("src", "relation").distinct()
+    has = train.select("src", "relation").distinct() if has is None else has
     sets = has.groupBy("src").agg(F.collect_set("relation").alias("rs"))
     pairs = sets.select(F.explode("rs").alias("left"), "rs").select("left", F.explode("rs").alias("right")).where("left <> right").groupBy("left", "right").agg(F.count("*").alias("pair"))
     presence = has.groupBy(F.col("relation").alias("left")).agg(F.count("*").alias("presence"))
@@ -80,16 +91,18 @@ def candidates(held: DataFrame, train: DataFrame, negatives: int = 1, seed: int
     Attempt k of an edge takes the target whose number in the relation's pool is a hash of edge and k; the first ``negatives`` that are
     neither the true target nor known count.
     """
-    pool = numbered(train.select("relation", "dst").distinct(), "relation", "dst", "n")
+    pool = cut(numbered(train.select("relation", "dst").distinct(), "relation", "dst", "n"))
     sizes = pool.groupBy("relation").agg(F.count("*").alias("size"))
-    known, edge = train.select("relation", "src", "dst").distinct(), ["relation", "src", "actual"]
-    todo = cut(held.join(sizes, "relation").select("relation", "src", F.col("dst").alias("actual"), "size").distinct())
+    edge = ["relation", "src", "actual"]
+    todo = cut(held.join(small(sizes), "relation").select("relation", "src", F.col("dst").alias("actual"), "size").distinct())
     number = F.pmod(F.conv(F.substring(_dice(seed, *edge, "k"), 1, 12), 16, 10).cast("long"), F.col("size"))
     found, done, step = None, 0, negatives
     while done < attempts * negatives:  # most edges need the first attempts only
         upto = min(attempts * negatives, done + step)
         tries = todo.withColumn("k", F.explode(F.sequence(F.lit(done + 1), F.lit(upto)))).withColumn("n", number)
-        fresh = tries.join(pool, ["relation", "n"]).where("dst <> actual").join(known, ["relation", "src", "dst"], "left_anti").select(*edge, "dst", "k")
+        tried = cut(tries.join(pool, ["relation", "n"]).where("dst <> actual").select(*edge, "dst", "k"))
+        known = passing(train.select("relation", "src", "dst"), "relation, src, dst", sieve(tried, "relation, src, dst"))  # most edges were never tried
+        fresh = tried.join(known, ["relation", "src", "dst"], "left_anti").select(*edge, "dst", "k")
         found = cut((fresh if found is None else found.unionByName(fresh)).groupBy(*edge, "dst").agg(F.min("k").alias("k")))
         enough = found.groupBy(*edge).agg(F.count("*").alias("n")).where(F.col("n") >= negatives)
         todo, done, step = cut(todo.join(enough, edge, "left_anti")), upto, 4 * step
@@ -99,9 +112,10 @@ def candidates(held: DataFrame, train: DataFrame, negatives: int = 1, seed: int
     return held.select("relation", "src", "dst", F.lit(1).alias("label")).unionByName(picked.select("relation", "src", "dst", F.lit(0).alias("label")))
 
 
-def probability_scores(rows: DataFrame, train: DataFrame) -> DataFrame:
+def probability_scores(rows: DataFrame, train: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Rows (relation, src, dst, …) with prob: the relation's prior, .6/.4 with the source's, .75/.25 with the target's, where there are such."""
-    out = rows.join(relation_prior(train), "relation", "left").join(source_prior(train), ["src", "relation"], "left").join(target_prior(train), ["relation", "dst"], "left")
+    sources = source_prior(train) if sources is None else sources
+    out = rows.join(small(relation_prior(train)), "relation", "left").join(sources, ["src", "relation"], "left").join(target_prior(train), ["relation", "dst"], "left")
     prior = F.coalesce("prior", F.lit(0.0))
     own = F.when(F.col("source_prior").isNotNull(), 0.6 * F.col("source_prior") + 0.4 * prior).otherwise(prior)
     own = F.when(F.col("target_prior").isNotNull(), 0.75 * own + 0.25 * F.col("target_prior")).otherwise(own)
@@ -114,15 +128,16 @@ def implicit_scores(rows: DataFrame, train: DataFrame) -> DataFrame:
     Context is the mean of P(relation | r) over the source's other relations r, weighted by their share of its edges and only over those for
     which it is known; category the greatest share that a category of the target has in the relation.
     """
-    scored = probability_scores(rows, train)
-    shares = train.groupBy("src", F.col("relation").alias("left")).agg(F.count("*").alias("k"))
+    sources = cut(train.groupBy("src", "relation").agg(F.avg("p").alias("source_prior"), F.count("*").alias("k")))
+    scored = probability_scores(rows, train, sources.drop("k"))
+    shares = sources.select("src", F.col("relation").alias("left"), "k")
     keys = rows.select("relation", "src").distinct()
     ctx = (
-        keys.join(shares, "src").where("left <> relation").join(conditional(train).select("left", F.col("right").alias("relation"), "conditional"), ["left", "relation"])
+        keys.join(shares, "src").where("left <> relation").join(small(conditional(train, sources.select("src", "relation")).select("left", F.col("right").alias("relation"), "conditional")), ["left", "relation"])
         .groupBy("relation", "src").agg((F.sum(F.col("k") * F.col("conditional")) / F.sum("k")).alias("context"))
     )
     cat = (
-        rows.select("relation", "dst").distinct().join(categories(train), F.col("dst") == F.col("entity")).join(relation_category(train), ["relation", "category"])
+        rows.select("relation", "dst").distinct().join(categories(train), F.col("dst") == F.col("entity")).join(small(relation_category(train)), ["relation", "category"])
         .groupBy("relation", "dst").agg(F.max("share").alias("category"))
     )
     out = scored.join(ctx, ["relation", "src"], "left").join(cat, ["relation", "dst"], "left")
@@ -135,7 +150,7 @@ def rerank(rows: DataFrame, k: int = 1000, alpha: float = 0.4, *, base: str = "i
     alpha = min(max(alpha, 0.0), 1.0)
     best = rows.orderBy(F.desc(base), F.desc("label"), *ties).limit(k).withColumn("reranked", clamp01(alpha * F.col(base) + (1 - alpha) * F.col(other)))
     keys = [c for c in ("relation", "src", "dst", "label", *ties) if c in rows.columns]
-    return rows.join(best.select(*dict.fromkeys(keys), "reranked"), list(dict.fromkeys(keys)), "left").withColumn("reranked", F.coalesce("reranked", base))
+    return rows.join(small(best.select(*dict.fromkeys(keys), "reranked")), list(dict.fromkeys(keys)), "left").withColumn("reranked", F.coalesce("reranked", base))
 
 
 # Metrics.  Rows are counted by score first; what is ordered are the distinct scores, in ranges.

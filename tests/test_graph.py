@@ -1,10 +1,11 @@
+import hashlib
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import belief
-from brindle.operators import graph, pattern, recall, terms
+from brindle.operators import graph, linkpred, pattern, recall, terms
 from brindle.plans import lineage
 
 EDGE = "seq int, src string, dst string, type string, directed boolean, weight double, confidence double, modality string, ambiguity string, props string"
@@ -161,3 +162,13 @@ def test_page_of_types_is_ranked_in_parts_of_bounded_size(spark, known, monkeypa
     rows = graph.neighbor_types(known, direction="both", limit=1)
     assert re.search(rf"RepartitionByExpression \[node#\d+\], {2 * known.count()}\b", rows._jdf.queryExecution().optimizedPlan().toString())
     assert {r.node: r.n for r in rows.groupBy("node").agg(F.sum("n").alias("n")).collect()}["city:berlin"] == 2
+
+
+def test_split_holds_out_the_share_without_ordering_all(spark):
+    df = spark.createDataFrame([("r", f"s:{i}", "d", 0.5) for i in range(50)], "relation string, src string, dst string, p double")
+    train, held = linkpred.split(df, 0.3)
+    order = sorted(range(50), key=lambda i: hashlib.md5(f"42\x1fr\x1fs:{i}\x1fd".encode()).hexdigest())
+    assert {r.src for r in held.collect()} == {f"s:{i}" for i in order[:15]} and train.count() == 35
+    assert "Window" not in held._jdf.queryExecution().optimizedPlan().toString()
+    copies = df.where("src = 's:1'").unionByName(df.where("src = 's:1'")).unionByName(df.where("src = 's:1'"))
+    assert [x.count() for x in linkpred.split(copies, 0.3)] == [2, 1]
