@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -165,19 +165,36 @@ def train(pred: DataFrame, steps: DataFrame) -> DataFrame:
     context; scores stay within 24.  A value that isn't there starts at .05.  Steps of a key without entries do nothing.
     """
 
-    def fold(own: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        state = {r.value: (float(r.score), {int(w["depth"]): (list(map(float, w["vector"])), float(w["bias"])) for w in (r.weights if r.weights is not None else [])}) for r in own.itertuples()}
-        key = own["key"].iloc[0] if len(own) else None
-        for r in todo.sort_values("seq", kind="stable").itertuples() if state else ():
-            context = deepen([list(x) for x in r.context]) if r.context is not None else []
-            rate = r.rate if r.rate and r.rate > 0 else 0.01
-            _step(state, r.target, context, rate, True)
-            for v in dict.fromkeys(x for x in (r.negatives if r.negatives is not None else []) if x and x != r.target):
-                _step(state, v, context, rate, False)
-        rows = [(key, v, s, [{"depth": d, "vector": list(w), "bias": b} for d, (w, b) in sorted(weights.items())]) for v, (s, weights) in state.items()]
-        return pd.DataFrame(rows, columns=["key", "value", "score", "weights"])
-
-    return pred.groupBy("key").cogroup(steps.groupBy("key")).applyInPandas(fold, PRED)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, {}
+
+        def entries() -> list[tuple]:
+            return [(key, v, s, [{"depth": d, "vector": list(w), "bias": b} for d, (w, b) in sorted(weights.items())]) for v, (s, weights) in state.items()]
+
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                if r.key != key:
+                    rows += entries()
+                    key, state = r.key, {}
+                if not r.step:
+                    state[r.value] = (float(r.score), {int(w["depth"]): (list(map(float, w["vector"])), float(w["bias"])) for w in (r.weights if r.weights is not None else [])})
+                elif state:
+                    context = deepen([list(x) for x in r.context]) if r.context is not None else []
+                    rate = r.rate if r.rate and r.rate > 0 else 0.01
+                    _step(state, r.target, context, rate, True)
+                    for v in dict.fromkeys(x for x in (r.negatives if r.negatives is not None else []) if x and x != r.target):
+                        _step(state, v, context, rate, False)
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "value", "score", "weights"])
+        if state:
+            yield pd.DataFrame(entries(), columns=["key", "value", "score", "weights"])
+
+    # Entries come before their key's steps, which pass by in order: Python holds a batch and a key's entries.
+    own = pred.select("key", F.lit(False).alias("step"), "value", "score", "weights")
+    todo = steps.select("key", F.lit(True).alias("step"), "seq", "target", "negatives", F.col("rate").cast("double").alias("rate"), F.col("context").cast("array<array<double>>").alias("context"))
+    rows = own.unionByName(todo, allowMissingColumns=True).repartition("key")
+    return rows.sortWithinPartitions("key", "step", F.asc_nulls_last("seq")).mapInPandas(fold, PRED)
 
 
 def window_hints(hints: DataFrame, steps: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import belief
-from brindle.operators import graph, linkpred, pattern, recall, terms
+from brindle.operators import graph, linkpred, pattern, predict, recall, terms
 from brindle.plans import lineage
 
 EDGE = "seq int, src string, dst string, type string, directed boolean, weight double, confidence double, modality string, ambiguity string, props string"
@@ -172,3 +172,17 @@ def test_split_holds_out_the_share_without_ordering_all(spark):
     assert "Window" not in held._jdf.queryExecution().optimizedPlan().toString()
     copies = df.where("src = 's:1'").unionByName(df.where("src = 's:1'")).unionByName(df.where("src = 's:1'"))
     assert [x.count() for x in linkpred.split(copies, 0.3)] == [2, 1]
+
+
+def test_training_steps_stream_through_python(spark):
+    none = "array<struct<depth:int,vector:array<double>,bias:double>>"
+    pred = spark.createDataFrame([(k, v, 0.1 * i, []) for k in "abc" for i, v in enumerate("xyz")], f"key string, value string, score double, weights {none}")
+    steps = spark.range(60).selectExpr("substr('abcd', cast(id % 4 as int) + 1, 1) as key", "id as seq", "substr('xyzw', cast(id % 3 as int) + 1, 1) as target", "array('y') as negatives", "0.1D as rate", "array(array(id / 60)) as context")
+    whole = predict.train(pred, steps)
+    assert "MapInPandas" in whole._jdf.queryExecution().toString()  # a key's steps are never one table in Python
+    expected = sorted(map(repr, whole.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert sorted(map(repr, predict.train(pred, steps).collect())) == expected and len(expected) == 9
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
